@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, langid, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ppm_language": langid.op2,
         "op4_simhash": simhash.op4,
+        "op8_bpe": bpe.op8,
     }
 
 
