@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash
+from . import bpe, decontaminate, langid, pii, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ppm_language": langid.op2,
         "op4_simhash": simhash.op4,
+        "op5_decontaminate": decontaminate.op5,
+        "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
+        "op10_toxicity": toxicity.op10,
     }
 
 
