@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, pii, simhash, toxicity
+from . import bpe, decontaminate, langid, pii, simhash, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ppm_language": langid.op2,
         "op4_simhash": simhash.op4,
         "op5_decontaminate": decontaminate.op5,
+        "op6_nra_topk": topk.op6,
         "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
         "op10_toxicity": toxicity.op10,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_nra_topk": topk.OP6_SQL,
+    }
