@@ -171,7 +171,7 @@ class Encoder:
 
     def ids(self, pieces: list[str]) -> np.ndarray:
         decimal = self.decimal(pieces)
-        return np.array(decimal.split(b",") if decimal else [], np.int32)
+        return np.fromstring(decimal, np.int32, sep=",") if decimal else np.zeros(0, np.int32)
 
     def decimal(self, pieces: list[str]) -> bytes:
         """The ids in decimal, joined by commas."""
@@ -195,23 +195,29 @@ def _paths(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`docs` (all its columns) with `out`, the text's token ids; a null text is an empty one."""
+def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: str | None = None, pattern: str | None = None, digest: str | None = None) -> DataFrame:
+    """`docs` (all its columns) with `out`, the text's token ids; a null text is an empty one.
+
+    `digest` names a column for the SHA-256 of the bytes that the ids decode to, if it is wanted.
+    """
     tune(docs.sparkSession)
     path, pattern = _paths(path, pattern)
-    kept = docs.drop(out)
+    kept = docs.drop(out, *[digest] * bool(digest))
     names = kept.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, pattern)
         for batch in batches:
-            ids = [coder.ids(p) for p in coder.pieces([t or "" for t in batch.column(at).to_pylist()])]
+            split = coder.pieces([t or "" for t in batch.column(at).to_pylist()])
+            ids = [coder.ids(p) for p in split]
+            more = [pa.array([hashlib.sha256(coder.decoded(p)).hexdigest() for p in split], pa.string())] if digest else []
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], [*names, out, *[digest] * bool(digest)])
 
-    return kept.mapInArrow(run, kept.withColumn(out, F.array(F.lit(1))).schema)
+    schema = kept.withColumns({out: F.array(F.lit(1)), **({digest: F.lit("")} if digest else {})}).schema
+    return kept.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -253,5 +259,10 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with n_tokens, token_ids and decoded_sha256, the digest of the bytes that the ids decode to."""
+    return encode(docs, text, "token_ids", digest="decoded_sha256").withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, pii, simhash, topk, toxicity, urlfilter
+from . import bpe, chat, decontaminate, katz, langid, pii, simhash, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_perspectives": chat.op1,
         "op2_ppm_language": langid.op2,
+        "op3_katz": katz.op3,
         "op4_simhash": simhash.op4,
         "op5_decontaminate": decontaminate.op5,
         "op6_nra_topk": topk.op6,
