@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Rows of one Arrow batch handed to Python; bounds a worker's memory on long texts.
 ARROW_ROWS = 256
 #: Bytes of text that numpy works on at once.
@@ -25,10 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     """Keep the Arrow batches sent to Python small (texts may be long); let workers find this package."""
-    paths = spark.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
-        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths.get("PYTHONPATH")]))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
