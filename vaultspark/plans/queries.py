@@ -455,12 +455,14 @@ def read_files_status(spark, sf_dir):
 # --- the index ------------------------------------------------------------------------------
 
 
-@query("""WITH n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0), o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 0)
+@query("""WITH n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src1'), o AS (SELECT doc_id, sha256(CASE WHEN source = 'src2' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'es')
 SELECT coalesce(n.doc_id, o.doc_id) || '.md' AS path, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM n FULL JOIN o ON n.doc_id = o.doc_id WHERE n.h IS DISTINCT FROM o.h""")
 def staleness_diff(spark, sf_dir):
+    """A source has gone, a language has come, another source's texts have changed."""
     docs = _table(spark, sf_dir, "documents")
-    now = index.hashes(from_documents(docs.where("doc_id % 11 <> 0")))
-    before = index.hashes(from_documents(docs.where("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))))
+    now = index.hashes(from_documents(docs.where("source <> 'src1'")))
+    text_ = F.when(F.col("source") == "src2", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    before = index.hashes(from_documents(docs.where("lang <> 'es'").withColumn("text", text_)))
     return index.diff(now, before)
 
 
