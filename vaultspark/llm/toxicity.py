@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-The features are rates and densities of one text: hits of a fixed and of a learned lexicon, their
-nearness to second-person words, capitals, punctuation and obfuscation. Words are read with
+The features are rates and densities of one text: hits of a fixed and of a learned lexicon of
+words and word beginnings (which catch compounds and inflections), their nearness to second-person words, capitals, punctuation and obfuscation. Words are read with
 punctuation dropped and look-alike digits turned into letters, so `1d.i0t!` counts as `idiot`.
 """
 
@@ -22,7 +22,11 @@ SAMPLE = 8000
 LEXICON = "abuse bastard clown creep crap damn disgusting dumb fool garbage hate idiot jerk kill liar loser moron pathetic pig scum shame shut stupid trash ugly vermin worthless".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros su".split()
 NEAR = 6
-FEATURES = ["log_words", "fixed_density", "fixed_count", "learned_density", "learned_count", "learned_top", "near_second", "second_density", "capitals", "capital_words", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "digits"]
+FEATURES = ["log_words", "fixed_density", "fixed_count", "learned_density", "learned_count", "learned_top", "stem_density", "stem_count", "near_second", "second_density", "capitals", "capital_words", "exclaims", "questions", "punctuation", "obfuscated", "obfuscated_hits", "digits"]
+#: Features of which more never speaks for a clean text.
+RISING = [FEATURES.index(x) for x in ("fixed_density", "fixed_count", "learned_density", "learned_count", "learned_top", "stem_density", "stem_count", "near_second", "obfuscated_hits")]
+#: Lengths in bytes of the word beginnings that are looked up.
+STEMS = (4, 5, 6, 7, 8)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -44,20 +48,28 @@ def _counts(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: hash of its normal form, whether it is obfuscated, whether in capitals; words of each row."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: hash of its normal form, those of its beginnings (0 where it is no longer), whether
+    it is obfuscated, whether in capitals; and the words of each row."""
     starts, ends, n = words(data, offsets)
     look = _LOOK[data]
     kept = _counts(look > 0)
     small = look[look > 0]
     s, e = kept[starts], kept[ends]
-    h = hash_spans(small, s.astype(np.int64), e.astype(np.int64))
+    s, e = s.astype(np.int64), e.astype(np.int64)
+    h = hash_spans(small, s, e)
+    stems = []
+    for n_bytes in STEMS:
+        longer = np.flatnonzero(e - s > n_bytes)
+        stem = np.zeros(len(h), np.uint64)
+        stem[longer] = hash_spans(small, s[longer], s[longer] + n_bytes)
+        stems.append(stem)
     letters, alike, punct, upper = (_counts(m[data]) for m in (_LETTER, _ALIKE, _PUNCT, _UPPER))
     inner = punct[np.maximum(ends - 1, starts)] - punct[np.minimum(starts + 1, ends)]  # between the word's ends
     n_letters = letters[ends] - letters[starts]
     odd = (n_letters > 0) & ((alike[ends] - alike[starts] > 0) | (inner > 0))
     caps = (n_letters > 1) & (upper[ends] - upper[starts] == n_letters)
-    return h, odd, caps, n
+    return h, stems, odd, caps, n
 
 
 @dataclass
@@ -66,6 +78,8 @@ class Lexicons:
     second: np.ndarray
     learned: np.ndarray  # sorted hashes
     weight: np.ndarray
+    stem: np.ndarray
+    stem_weight: np.ndarray
 
 
 def _in(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +95,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lex: Lexicons) -> np.ndarray
     for a, b in chunks(offsets):
         own = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
-        h, odd, caps, n = tokens(part, own)
+        h, stems, odd, caps, n = tokens(part, own)
         row = np.repeat(np.arange(b - a), n)
         total = np.maximum(n, 1)
 
@@ -92,7 +106,11 @@ def features(data: np.ndarray, offsets: np.ndarray, lex: Lexicons) -> np.ndarray
         second, _ = _in(lex.second, h)
         learned, at = _in(lex.learned, h)
         weight = np.where(learned, lex.weight[at] if len(lex.weight) else 0.0, 0.0)
-        hit = fixed | learned
+        stemmed = np.zeros(len(h))
+        for stem in stems if len(lex.stem) else ():
+            found, where = _in(lex.stem, stem)
+            stemmed = np.maximum(stemmed, np.where(found, lex.stem_weight[where], 0.0))
+        hit = fixed | learned | (stemmed > 0)
         top = np.zeros(b - a)
         np.maximum.at(top, row[learned], weight[learned])
         spot, you = np.flatnonzero(hit), np.flatnonzero(second)
@@ -105,7 +123,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lex: Lexicons) -> np.ndarray
         byte = {k: np.diff(_counts(m)[own]) for k, m in (("letters", _LETTER[part]), ("upper", _UPPER[part]), ("!", part == 33), ("?", part == 63), ("punct", _PUNCT[part]), ("digit", (part >= 48) & (part < 58)))}
         size = np.maximum(np.diff(own), 1)
         fixed_n, learned_n = per(fixed), per(learned)
-        out[a:b] = np.stack([np.log1p(n), fixed_n / total, np.log1p(fixed_n), per(weight) / total, np.log1p(learned_n), top, per(near) / total, per(second) / total, byte["upper"] / np.maximum(byte["letters"], 1), per(caps) / total, byte["!"] / size, byte["?"] / size, byte["punct"] / size, per(odd) / total, np.log1p(per(odd & hit)), byte["digit"] / size], axis=1)
+        out[a:b] = np.stack([np.log1p(n), fixed_n / total, np.log1p(fixed_n), per(weight) / total, np.log1p(learned_n), top, per(stemmed) / total, np.log1p(per(stemmed > 0)), per(near) / total, per(second) / total, byte["upper"] / np.maximum(byte["letters"], 1), per(caps) / total, byte["!"] / size, byte["?"] / size, byte["punct"] / size, per(odd) / total, np.log1p(per(odd & hit)), byte["digit"] / size], axis=1)
     return out
 
 
@@ -133,8 +151,12 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 1.0) -> Trees:
-    """Newton boosting of logistic loss over quantile bins."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 1.0, least: float = 1.0, rising: list[int] | None = None) -> Trees:
+    """Newton boosting of logistic loss over quantile bins.
+
+    A split leaves second derivatives of `least` on either side, and none on a `rising` feature
+    lowers the score of the larger values.
+    """
     mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Trees(depth, float(np.log(mean / (1 - mean))))
     cuts = [np.unique(np.quantile(c[c != 0] if (c != 0).any() else c, np.linspace(0, 1, bins))) for c in x.T]
@@ -158,6 +180,11 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate:
                 left = [s.cumsum(axis=1)[:, :-1] for s in sums]
                 whole = [s.sum(axis=1, keepdims=True) for s in sums]
                 gain = left[0] ** 2 / (left[1] + ridge) + (whole[0] - left[0]) ** 2 / (whole[1] - left[1] + ridge) - whole[0] ** 2 / (whole[1] + ridge)
+                right = [w - x for w, x in zip(whole, left)]
+                ok = (left[1] >= least) & (right[1] >= least)
+                if k in (rising or ()):
+                    ok &= left[0] / (left[1] + ridge) >= right[0] / (right[1] + ridge)
+                gain = np.where(ok, gain, -np.inf)
                 if gain.shape[1]:
                     top = gain.argmax(axis=1)
                     value = gain[np.arange(width), top]
@@ -206,18 +233,22 @@ def _hashes(names: list[str]) -> np.ndarray:
     return np.unique(np.array([word_hash(w) for w in names], np.uint64))
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, most: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes that mark the label, and their log odds."""
-    seen: dict[int, np.ndarray] = {}
+def learn_lexicon(texts: list[str], y: np.ndarray, most: int = 300) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of words, then of word beginnings, that mark the label, and their log odds."""
+    seen: list[dict[int, np.ndarray]] = [{}, {}]
     for text, label in zip(texts, y):
         data = np.frombuffer(text.encode(), np.uint8)
-        for h in np.unique(tokens(data, np.array([0, len(data)]))[0]).tolist():
-            seen.setdefault(h, np.zeros(2))[int(label)] += 1
+        h, stems, *_ = tokens(data, np.array([0, len(data)]))
+        for counts, found in zip(seen, (h, np.concatenate(stems))):
+            for x in np.unique(found[found > 0]).tolist():
+                counts.setdefault(x, np.zeros(2))[int(label)] += 1
     rows = np.bincount(y.astype(int), minlength=2)
-    odds = {h: np.log((c[1] + 0.5) / (rows[1] + 1)) - np.log((c[0] + 0.5) / (rows[0] + 1)) for h, c in seen.items() if c[1] >= max(4, 0.03 * rows[1])}
-    best = sorted((h for h in odds if odds[h] > 2.5), key=lambda h: (-odds[h], h))[:most]
-    best.sort()
-    return np.array(best, np.uint64), np.array([odds[h] for h in best])
+    out = []
+    for counts in seen:
+        odds = {h: np.log((c[1] + 0.5) / (rows[1] + 1)) - np.log((c[0] + 0.5) / (rows[0] + 1)) for h, c in counts.items() if c[1] >= max(4, 0.02 * rows[1])}
+        best = sorted(sorted((h for h in odds if odds[h] > 2.5), key=lambda h: (-odds[h], h))[:most])
+        out.append((np.array(best, np.uint64), np.array([odds[h] for h in best])))
+    return out
 
 
 def fit_texts(texts: list[str], y: np.ndarray) -> Model:
@@ -225,13 +256,13 @@ def fit_texts(texts: list[str], y: np.ndarray) -> Model:
     part = np.arange(len(y)) % 5
     first, second, third = part < 2, (part == 2) | (part == 3), part == 4
     pick = lambda m: [t for t, k in zip(texts, m) if k]
-    learned, weight = learn_lexicon(pick(first), y[first])
-    lex = Lexicons(_hashes(LEXICON), _hashes(SECOND), learned, weight)
+    learned, stems = learn_lexicon(pick(first), y[first])
+    lex = Lexicons(_hashes(LEXICON), _hashes(SECOND), *learned, *stems)
     x = [features(*text_bytes(pa.array(pick(m), pa.string())), lex) for m in (second, third)]
     if second.sum() < 20 or not 0 < y[second].sum() < second.sum():
         base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Model(lex, Trees(base=float(np.log(base / (1 - base)))), (np.zeros(0), np.zeros(0)))
-    trees = boost(x[0], y[second])
+    trees = boost(x[0], y[second], rising=RISING)
     return Model(lex, trees, isotonic(trees.margin(x[1]), y[third]))
 
 
