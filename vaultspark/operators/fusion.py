@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def ranks_of(few: DataFrame, scored: DataFrame, key: str, most: int = 10_000) ->
     above = [F.sum(((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col(key) < r[key]))).cast("long")).alias(f"r{i}") for i, r in enumerate(mine)]
     counts = scored.agg(*above).first()
     rows = [(r[key], counts[i] + 1) for i, r in enumerate(mine)]
-    return spark.createDataFrame(rows, f"{key} {scored.schema[key].dataType.simpleString()}, rank long")
+    return spark.createDataFrame(rows, T.StructType([T.StructField(key, scored.schema[key].dataType), T.StructField("rank", T.LongType())]))
 
 
 def rrf(lists: list[tuple[DataFrame, float]], key: str, k: float = 60.0) -> DataFrame:
@@ -44,12 +45,22 @@ def fused_top(dense: DataFrame, sparse: DataFrame, key: str, limit: int, k: floa
     """The `limit` best of dense (a short list) and sparse (any number) scores, as fusing all ranks would give.
 
     A key of the sparse list alone needs one of its first places to be among the best, and the
-    dense list's keys need their own sparse ranks; so no rank is given to the other rows.
+    dense list's keys need their own sparse ranks; so no rank is given to the other rows. The sparse
+    scores are made once and held while the two short lists, which come to the driver, are drawn up.
     """
-    d = ranked(dense, key, limit=None)
-    first = ranked(sparse, key, limit)
-    rest = ranks_of(dense, sparse, key).join(first, key, "left_anti")
-    s = first.select(key, F.col("rank").cast("long").alias("rank")).unionByName(rest)
+    spark = sparse.sparkSession
+    kind = sparse.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("rank", T.LongType())])
+    held = sparse.select(key, "score").persist()
+    try:
+        first = {r[key]: i for i, r in enumerate(held.orderBy(F.desc("score"), key).limit(limit).collect(), start=1)}
+        short = dense.select(key, "score").orderBy(F.desc("score"), key).collect()
+        few = spark.createDataFrame([(r[key], 0) for r in short], schema)
+        ranks = first | {r[key]: r["rank"] for r in ranks_of(few, held, key).collect()}
+    finally:
+        held.unpersist()
+    d = spark.createDataFrame([(r[key], i) for i, r in enumerate(short, start=1)], schema)
+    s = spark.createDataFrame(list(ranks.items()), schema)
     return rrf([(d, dense_weight), (s, sparse_weight)], key, k).orderBy(F.desc("score"), key).limit(limit)
 
 
