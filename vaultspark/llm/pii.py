@@ -280,7 +280,7 @@ def labelled_lines() -> list[tuple[str, list[tuple[str, int, int]]]]:
     """The small labelled table: made-up lines in several layouts, personal data between {k:...} marks."""
     names = ["ana", "li.wei", "sam_k", "j.doe", "marta99", "tom-b"]
     lines = []
-    for i, name in enumerate(names * 4):
+    for i, name in enumerate(names * 2):
         a, b, c, d = (i * 37) % 256, (i * 91 + 7) % 256, (i * 53 + 11) % 256, (i * 17 + 1) % 256
         p, q, r = 201 + i * 13 % 700, 100 + i * 29 % 800, 1000 + i * 317 % 8999
         stem = f"{4000 + i * 71 % 900:04d}{i * 1237 % 10000:04d}{i * 7919 % 10000:04d}{i * 271 % 1000:03d}"
