@@ -15,8 +15,7 @@ K1, B = 1.2, 0.75
 
 def query_tokens(query: str) -> list[str]:
     """As documents are split; repeated terms stay and count again."""
-    pattern = TOKEN_BREAK.replace(r"\p{IsWhite_Space}", r"\s")
-    return [t for t in re.split(pattern, query.lower()) if t]
+    return [t for t in re.split(TOKEN_BREAK, query.lower()) if t]
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -28,7 +27,7 @@ def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def _count(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term))
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,8 +40,9 @@ def scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
     names = sorted(set(terms))
     if not names:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(key, bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    counted = counted.select(key, F.size("_t").cast("long").alias("_dl"), *[_count("_t", w).alias(f"_tf{i}") for i, w in enumerate(names)])
+    split = docs.select(key, bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    # A generator, since a filter on plain columns would be pushed below them and split every text again for each term.
+    counted = split.select(key, F.inline(F.array(F.struct(F.size("_t").cast("long").alias("_dl"), *[_count("_t", w).alias(f"_tf{i}") for i, w in enumerate(names)]))))
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(names))])
     joined = counted.where(" or ".join(f"_tf{i} > 0" for i in range(len(names)))).crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

@@ -18,7 +18,7 @@ def parse_yaml(block: str | None) -> list[str] | None:
     if block is None:
         return []
     try:
-        found = yaml.safe_load(block)
+        found = yaml.load(block, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         return None
     tags = found.get("tags") if isinstance(found, dict) else None
@@ -28,7 +28,8 @@ def parse_yaml(block: str | None) -> list[str] | None:
 
 
 def _parsed(blocks: pd.Series) -> pd.Series:
-    return blocks.map(parse_yaml)
+    known = {b: parse_yaml(b) for b in blocks.unique()}
+    return blocks.map(known.get)
 
 
 def yaml_tags(block: Column | str) -> Column:

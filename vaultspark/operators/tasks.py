@@ -28,7 +28,10 @@ def mark(line: Column | str) -> Column:
 
 
 def status(line: Column | str) -> Column:
-    sign = mark(line)
+    return status_of(mark(line))
+
+
+def status_of(sign: Column) -> Column:
     known = F.when(sign.rlike(r"(?U)^\s$"), "incomplete").when(F.lower(sign) == "x", "completed").when(sign == "-", "cancelled")
     return F.when(sign != "", known.otherwise(F.concat(F.lit("other_"), sign)))
 
@@ -80,7 +83,8 @@ def clean(text: Column) -> Column:
 def parsed(df: DataFrame, line: str = "raw_line") -> DataFrame:
     """`df`'s rows whose `line` is a task, with content, status, tags, dates and priority."""
     text = content(line)
-    return df.withColumns({"status": status(line), "_text": text}).where("status is not null").withColumns({
+    marked = df.withColumn("_sign", mark(line)).where("_sign <> ''").withColumns({"status": status_of(F.col("_sign")), "_text": text}).drop("_sign")
+    return marked.withColumns({
         "content": clean(F.col("_text")), "tags": tags("_text"), "due_date": due_date(F.col("_text")), "priority": priority(F.col("_text")),
         "created_date": created_date(F.col("_text")), "completed_date": completed_date(F.col("_text")),
     }).drop("_text")

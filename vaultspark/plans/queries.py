@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import bm25, chunker, daily, files, fusion, outline, tags, tasks, vectors
+from ..sources.tables import spread
 from ..sources.vault import from_documents
 from . import index
 
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- ranking --------------------------------------------------------------------------------
