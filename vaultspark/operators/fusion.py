@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,13 @@ def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     return scored.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A constant, also of a struct of constants."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
+
 def ranks_of(few: DataFrame, scored: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """(key, rank) in the whole of `scored` of the few keys that it holds, without ordering the rest.
 
@@ -26,7 +33,7 @@ def ranks_of(few: DataFrame, scored: DataFrame, key: str, most: int = 10_000) ->
     spark = scored.sparkSession
     if not mine:
         return scored.select(key, F.lit(1).alias("rank")).limit(0)
-    above = [F.sum(((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col(key) < r[key]))).cast("long")).alias(f"r{i}") for i, r in enumerate(mine)]
+    above = [F.sum(((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col(key) < _literal(r[key], scored.schema[key].dataType)))).cast("long")).alias(f"r{i}") for i, r in enumerate(mine)]
     counts = scored.agg(*above).first()
     rows = [(r[key], counts[i] + 1) for i, r in enumerate(mine)]
     return spark.createDataFrame(rows, T.StructType([T.StructField(key, scored.schema[key].dataType), T.StructField("rank", T.LongType())]))
