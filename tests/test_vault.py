@@ -1,13 +1,21 @@
 import datetime
 import json
 import os
+import threading
+import urllib.error
+import urllib.request
+from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from vaultspark.config import Config, load, task_limit
+from vaultspark.__main__ import main
+from vaultspark.config import Config, SearchConfig, load, task_limit
 from vaultspark.operators import daily, files
 from vaultspark.plans import api, index
 from vaultspark.plans.search import Mode, search
+from vaultspark.server import PATHS, serve
+from vaultspark.sources.endpoint import Endpoint, unit
 from vaultspark.sources.vault import Vault, excluded, from_files
 from vaultspark.streaming import ingest
 
@@ -58,11 +66,16 @@ def test_operations(vault):
     assert [t["content"] for t in run("tasks", status="incomplete")] == ["learn rust"]
     assert run("tags") == {"tags": ["fast", "lang"]}
     assert run("list-tags", limit=1) == {"tags": [{"tag": "lang", "document_count": 2}], "total_unique_tags": 2, "truncated": True}
-    assert run("search-tags", tags_wanted=["FAST"])["total_count"] == 1
+    assert run("search-tags", tags=["FAST"])["total_count"] == 1
     listed = run("list-files", include_sizes=True)
     assert (listed["total_files"], listed["total_dirs"]) == (7, 2) and listed["visual_tree"].splitlines()[1:3] == ["  sub/", "    _python.md (" + f"{os.path.getsize(vault.path + '/sub/_python.md')} B)"]
-    read = run("read-files", file_paths=["graph.md", "none.md", "../up.md"])
-    assert (read["success_count"], read["failure_count"]) == (1, 2)
+    read = run("read-files", file_paths=["graph.md", "none.md", "../up.md"], continue_on_error=True)
+    assert (read["total_requested"], read["success_count"], read["failure_count"]) == (3, 1, 2)
+    for paths in ([], ["graph.md", "none.md"]):
+        with pytest.raises(ValueError):
+            run("read-files", file_paths=paths)
+    with pytest.raises(ValueError):
+        run("section", file_path="graph.md")
     recent = run("recent-files", limit=2)["files"]
     assert recent[0]["date_source"] == "frontmatter" and recent[0]["updated_at"] == "2026-04-25T06:00:00+02:00" and recent[1]["updated_at"] == "2023-11-14T22:13:20Z"
     assert run("get-daily-note", date="2025-01-20")["content"] == "day one" and not run("get-daily-note", date="2025-01-21")["found"]
@@ -106,6 +119,81 @@ def test_index(vault, spark, tmp_path):
     assert own.version() is None
 
 
+@pytest.fixture
+def endpoint():
+    """An embeddings endpoint; `up` turns it off, `asked` holds what it got."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            server.asked.append((self.path, self.headers["Authorization"], got["model"], got["input"]))
+            rows = [{"index": i, "embedding": [3.0 * ("rust" in t.lower()), 4.0, 9.0]} for i, t in enumerate(got["input"])]
+            body = json.dumps({"data": rows[::-1]}).encode()
+            self.send_response(200 if server.up else 503)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.up, server.asked = True, []
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server
+    server.shutdown()
+
+
+def test_endpoint(endpoint):
+    own = Endpoint(f"http://127.0.0.1:{endpoint.server_port}/v1/", "m", 2, "secret")
+    assert own(["rust", "x"]) == [pytest.approx([0.6, 0.8]), [0.0, 1.0]] and own([]) == []
+    assert endpoint.asked == [("/v1/embeddings", "Bearer secret", "m", ["rust", "x"])]
+    assert unit([0.0, 0.0], 5) == [0.0, 0.0]
+    endpoint.up = False
+    with pytest.raises(OSError):
+        own(["rust"])
+    assert Endpoint.of(SearchConfig()) is None
+
+
+def test_vectors_come_later(spark, vault, endpoint):
+    """What was indexed while the endpoint was down gets its vectors in the next build that changes something."""
+    base = f"http://127.0.0.1:{endpoint.server_port}"
+    vault.config = replace(vault.config, search=replace(vault.config.search, embedding_api_base=base, embedding_dim=2, merge_threshold=0))
+    endpoint.up = False
+    assert not api.index(vault)["has_embeddings"]
+    endpoint.up = True
+    assert api.search_notes(vault, "rust", mode="dense")["mode_used"] == "sparse"
+    with open(vault.path + "/new.md", "w") as f:
+        f.write("# New\n## Below\nwords about something else entirely\n")
+    assert api.index(vault)["has_embeddings"]
+    found = api.search_notes(vault, "rust", mode="dense", no_reindex=True, limit=1)
+    assert found["mode_used"] == "dense" and found["results"][0]["source_file"] == "rust.md"
+    sent = [t for *_, texts in endpoint.asked for t in texts]
+    assert any(t.startswith("passage: rust\n") for t in sent) and any(t.startswith("passage: New\nwords") for t in sent) and "query: rust" in sent
+    os.remove(vault.path + "/new.md")
+    endpoint.up = False  # nothing to embed, so nothing to fail
+    assert api.index(vault)["has_embeddings"]
+
+
+def test_command_line_and_server(spark, vault, capsys):
+    assert main(["tags", vault.path], spark) == 0 and json.loads(capsys.readouterr().out) == {"tags": ["fast", "lang"]}
+    assert main(["section", vault.path, "graph.md", "graphql", "--no-include-subsections"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["sections"][0]["content"].startswith("queries")
+    assert main(["read-files", vault.path, "--file-paths", "none.md"], spark) == 1 and capsys.readouterr().err
+    assert main(["list-files", vault.path, "--max-depth", "1"], spark) == 0 and "  sub/" in capsys.readouterr().out.splitlines()
+    server = serve(vault, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = lambda path, body=None: json.load(urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", body))
+    assert ask("/api/tags/list?limit=1")["truncated"] is True
+    assert ask("/api/tasks", b'{"status": "incomplete", "limit": null, "path": null}')[0]["content"] == "learn rust"
+    assert len(ask("/tools")["tools"]) == 14 and set(PATHS.values()) == set(api.OPERATIONS)
+    for path, status in (("/api/outline", 500), ("/none", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            ask(path)
+        assert e.value.code == status
+    server.shutdown()
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("- [ ] one #x\n# H\n")

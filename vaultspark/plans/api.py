@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
+from types import UnionType
+from typing import get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import task_limit
-from ..operators import daily, files, outline, tags, tasks
+from ..operators import daily, files, outline, tasks
+from ..operators import tags as tag_rows
 from ..operators.chunker import ChunkConfig
+from ..sources.endpoint import Endpoint
 from ..sources.vault import Vault
 from .index import Index
 from .search import Mode, search
@@ -20,32 +26,36 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
 
-def search_tasks(vault: Vault, path: str = "", limit: int | None = None, **filters) -> list[dict]:
+def search_tasks(vault: Vault, path: str = "", status: str | None = None, due_on: str | None = None, due_before: str | None = None, due_after: str | None = None, completed_on: str | None = None, completed_before: str | None = None, completed_after: str | None = None, tags: list[str] | None = None, exclude_tags: list[str] | None = None, limit: int | None = None) -> list[dict]:
+    filters = {"status": status, "due_on": due_on, "due_before": due_before, "due_after": due_after, "completed_on": completed_on, "completed_before": completed_before, "completed_after": completed_after, "tags": tags, "exclude_tags": exclude_tags}
     return _rows(tasks.search(vault.notes(path), task_limit() if limit is None else limit, **filters))
 
 
 def extract_tags(vault: Vault, subpath: str = "") -> dict:
-    return {"tags": [r["tag"] for r in tags.distinct(tags.extract(vault.notes(subpath))).collect()]}
+    return {"tags": [r["tag"] for r in tag_rows.distinct(tag_rows.extract(vault.notes(subpath))).collect()]}
 
 
-def list_tags(vault: Vault, path: str = "", min_count: int | None = None, limit: int | None = None) -> dict:
-    every = tags.counts(tags.extract(vault.notes(path)), min_count)
+def list_tags(vault: Vault, subpath: str = "", min_count: int | None = None, limit: int | None = None) -> dict:
+    every = tag_rows.counts(tag_rows.extract(vault.notes(subpath)), min_count)
     total = every.count()
     shown = _rows(every if limit is None else every.limit(limit))
     return {"tags": shown, "total_unique_tags": total, "truncated": len(shown) < total}
 
 
-def search_by_tags(vault: Vault, tags_wanted: list[str], match_all: bool = False, subpath: str = "", limit: int | None = None) -> dict:
-    found = tags.search(tags.extract(vault.notes(subpath)), tags_wanted, match_all)
+def search_by_tags(vault: Vault, tags: list[str], match_all: bool = False, subpath: str = "", limit: int | None = None) -> dict:
+    found = tag_rows.search(tag_rows.extract(vault.notes(subpath)), tags, match_all)
     return {"files": _rows(found if limit is None else found.limit(limit)), "total_count": found.count()}
 
 
-def list_files(vault: Vault, path: str = "", max_depth: int | None = None, include_sizes: bool = False) -> dict:
-    rows = files.tree_rows(vault.files(path), max_depth)
-    return {"visual_tree": files.render(rows, path or vault.path.rsplit("/", 1)[-1], include_sizes), **_rows(files.tree_totals(rows))[0]}
+def list_files(vault: Vault, subpath: str = "", max_depth: int | None = None, include_sizes: bool = False) -> dict:
+    rows = files.tree_rows(vault.files(subpath), max_depth)
+    return {"visual_tree": files.render(rows, subpath or vault.path.rsplit("/", 1)[-1], include_sizes), **_rows(files.tree_totals(rows))[0]}
 
 
-def read_files(vault: Vault, file_paths: list[str]) -> dict:
+def read_files(vault: Vault, file_paths: list[str], continue_on_error: bool = False) -> dict:
+    """Without `continue_on_error` the first file that cannot be read, or no file at all, is a ValueError."""
+    if not file_paths and not continue_on_error:
+        raise ValueError("file_paths cannot be empty")
     good, bad = [], {}
     for p in file_paths:
         try:
@@ -56,7 +66,10 @@ def read_files(vault: Vault, file_paths: list[str]) -> dict:
     notes = outline.without_sections(vault.notes(), list(vault.config.exclude_headings))
     found = {r["file_path"]: r for r in _rows(files.read(notes, good))} if good else {}
     out = [found.get(p) or {"file_path": p, "file_name": p.rsplit("/", 1)[-1], "success": False, "content": None, "error": bad[p]} for p in file_paths]
-    return {"files": out, "success_count": sum(r["success"] for r in out), "failure_count": sum(not r["success"] for r in out)}
+    failed = [r for r in out if not r["success"]]
+    if failed and not continue_on_error:
+        raise ValueError(failed[0]["error"])
+    return {"files": out, "total_requested": len(out), "success_count": sum(r["success"] for r in out), "failure_count": len(failed)}
 
 
 def recent_files(vault: Vault, limit: int = 20, since: str | None = None) -> dict:
@@ -93,15 +106,21 @@ def _index(vault: Vault) -> Index:
     return Index(vault.spark, f"file://{vault.path}/{s.cache_dir}", ChunkConfig.of(vault.config), s.model_id, s.embedding_dim, s.embedding_api_base)
 
 
-def index(vault: Vault, reindex: bool = False, embed: Callable | None = None) -> dict:
-    return _index(vault).build(vault.notes(), embed, reindex).__dict__
+def index(vault: Vault, reindex: bool = False, model: str | None = None, dim: int | None = None, embed: Callable | None = None) -> dict:
+    """`embed` is the configured endpoint unless another is given; model and dim replace the configured ones."""
+    given = {k: v for k, v in (("model_id", model), ("embedding_dim", dim)) if v is not None}
+    vault = Vault(vault.spark, vault.path, replace(vault.config, search=replace(vault.config.search, **given)))
+    return asdict(_index(vault).build(vault.notes(), embed or Endpoint.of(vault.config.search), reindex))
 
 
-def search_notes(vault: Vault, query: str, mode: str = "hybrid", limit: int | None = None, tags: list[str] | None = None, recency: bool = False, embed: Callable | None = None) -> dict:
-    """Brings the index up to date, then searches it."""
+def search_notes(vault: Vault, query: str, limit: int | None = None, mode: str = "hybrid", no_reindex: bool = False, tags: list[str] | None = None, enable_recency: bool = False, recency_weight: float | None = None, embed: Callable | None = None) -> dict:
+    """Brings the index up to date, unless `no_reindex`, then searches it."""
     s, notes, own = vault.config.search, vault.notes(), _index(vault)
-    own.build(notes, embed)
-    found = search(own, query, Mode(mode), limit or s.max_results, tags, embed, s.rrf_k, s.rrf_cosine_weight, s.rrf_bm25_weight, s.rrf_recency_weight if recency else None, notes)
+    embed = embed or Endpoint.of(s)
+    if not no_reindex:
+        own.build(notes, embed)
+    weight = (s.rrf_recency_weight if recency_weight is None else recency_weight) if enable_recency else None
+    found = search(own, query, Mode(mode), s.max_results if limit is None else limit, tags, embed, s.rrf_k, s.rrf_cosine_weight, s.rrf_bm25_weight, weight, notes)
     return {"mode_used": found.mode_used.value, "results": _rows(found.results)}
 
 
@@ -112,7 +131,47 @@ OPERATIONS: dict[str, Callable] = {
 }
 
 
+@dataclass(frozen=True)
+class Field:
+    """A parameter of an operation's request."""
+
+    name: str
+    kind: type
+    required: bool
+
+    @property
+    def option(self) -> str:
+        return self.name.replace("_", "-")
+
+    def read(self, value):
+        """`value` as the parameter's kind, from JSON or from text as in a query string."""
+        if value is None or not isinstance(value, str):
+            return value
+        if self.kind is bool:
+            return value.strip().lower() in ("true", "1", "yes")
+        if self.kind is list:
+            return [x.strip() for x in value.split(",") if x.strip()]
+        return self.kind(value)
+
+
+def fields(name: str) -> list[Field]:
+    """The parameters of an operation but for the vault and functions."""
+    call = OPERATIONS[name]
+    hints = get_type_hints(call)
+    found = []
+    for p in inspect.signature(call).parameters.values():
+        kinds = [k for k in (get_args(hints[p.name]) if isinstance(hints[p.name], UnionType) else [hints[p.name]]) if k is not type(None)]
+        kind = get_origin(kinds[0]) or kinds[0]
+        if kind in (str, int, float, bool, list):
+            found.append(Field(p.name, kind, p.default is p.empty))
+    return found
+
+
 def execute(vault: Vault, name: str, request: str | dict) -> str:
-    """JSON in, JSON out."""
+    """JSON in, JSON out. Absent and null parameters take their defaults; unknown ones are passed over; a missing one is a ValueError."""
     asked = json.loads(request) if isinstance(request, str) else request
-    return json.dumps(OPERATIONS[name](vault, **asked), default=str, ensure_ascii=False, indent=2)
+    given = {f.name: f.read(asked[f.name]) for f in fields(name) if asked.get(f.name) is not None}
+    for f in fields(name):
+        if f.required and f.name not in given:
+            raise ValueError(f"missing parameter: {f.name}")
+    return json.dumps(OPERATIONS[name](vault, **given), default=str, ensure_ascii=False, indent=2)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25
 from ..operators.chunker import ChunkConfig, chunks
+from ..workers import ship
 
 FORMAT = 4
 TABLES = ("files", "chunks", "postings", "stats", "meta")
@@ -90,8 +91,8 @@ class Index:
     def build(self, notes: DataFrame, embed: Callable | None = None, reindex: bool = False) -> Summary:
         """Chunk what changed, keep the rest, write the next version. `embed` maps texts to vectors, in batches.
 
-        If the first batch cannot be embedded the index is built without vectors; a later failure
-        ends the build and leaves the version in use.
+        If the first batch cannot be embedded the new chunks get no vectors; a later failure ends the
+        build and leaves the version in use. The index has embeddings if every chunk has its vector.
         """
         began = time.time()
         state, changes = ("FullRebuild", hashes(notes).select("path", F.lit("added").alias("change"))) if reindex else self.staleness(notes)
@@ -99,16 +100,21 @@ class Index:
         if state == "UpToDate":
             meta = self.table("meta").first()
             return Summary(state, 0, 0, 0, self.table("chunks").count(), meta["has_embeddings"], int(1000 * (time.time() - began)))
-        fresh = chunks(notes.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi"), self.chunking)
-        has = embed is not None and self._embeds(fresh, embed)
-        fresh = self._embedded(fresh, embed if has else None)
+        ship(self.spark)
+        todo = chunks(notes.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi"), self.chunking)
+        kept = None
         if state == "Stale":
-            old = self.table("chunks").join(changes.select(F.col("path").alias("source_file")), "source_file", "left_anti")
-            fresh = fresh.unionByName(old)
+            kept = self.table("chunks").join(changes.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+            if embed is not None:  # chunks of a build that had no vectors get theirs now
+                todo = todo.unionByName(kept.where("embedding is null").drop("embedding"))
+                kept = kept.where("embedding is not null")
+        made = self._embedded(todo, embed if embed is not None and self._embeds(todo, embed) else None)
+        made = made if kept is None else made.unionByName(kept)
         v = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         at = f"{self.base}/v={v}"
-        fresh.write.parquet(f"{at}/chunks")
+        made.write.parquet(f"{at}/chunks")
         written = self.spark.read.parquet(f"{at}/chunks")
+        has = not written.isEmpty() and written.where("embedding is null").isEmpty()
         searched = written.select(F.struct("source_file", "seq").alias("chunk"), searchable().alias("text"))
         bm25.postings(searched, "chunk").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
         bm25.corpus_stats(searched).write.parquet(f"{at}/stats")
@@ -117,35 +123,37 @@ class Index:
         self.spark.range(1).select(F.lit(v).alias("version"), F.lit(time.time()).alias("at")).write.mode("append").parquet(f"{self.base}/current")
         return Summary(state, count.get("added", 0), count.get("modified", 0), count.get("removed", 0), written.count(), has, int(1000 * (time.time() - began)))
 
-    def _embeds(self, fresh: DataFrame, embed: Callable) -> bool:
-        first = [r["text"] for r in fresh.select("text").limit(EMBED_ROWS).collect()]
+    def _embeds(self, todo: DataFrame, embed: Callable) -> bool:
+        first = [r["passage"] for r in todo.select(passage().alias("passage")).limit(EMBED_ROWS).collect()]
         try:
-            embed(first)
+            return not first or len(embed(first)) == len(first)
         except Exception:  # whatever the endpoint fails with, the index is built without it
             return False
-        return True
 
-    def _embedded(self, fresh: DataFrame, embed: Callable | None) -> DataFrame:
-        names = fresh.columns
+    def _embedded(self, todo: DataFrame, embed: Callable | None) -> DataFrame:
+        whole = todo.withColumn("embedding", F.lit(None).cast("array<float>"))
         if embed is None:
-            return fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
+            return whole
 
         def run(batches):
             for pdf in batches:
-                vectors = []
-                for a in range(0, len(pdf), EMBED_ROWS):
-                    vectors += embed([passage(t, h) for t, h in zip(pdf["text"][a : a + EMBED_ROWS], pdf["heading"][a : a + EMBED_ROWS])])
-                yield pdf.assign(embedding=[list(map(float, v)) for v in vectors])[[*names, "embedding"]]
+                asked, vectors = list(pdf["passage"]), []
+                for a in range(0, len(asked), EMBED_ROWS):
+                    vectors += embed(asked[a : a + EMBED_ROWS])
+                yield pdf.drop(columns="passage").assign(embedding=[list(map(float, v)) for v in vectors])
 
-        return fresh.mapInPandas(run, fresh.withColumn("embedding", F.lit(None).cast("array<float>")).schema)
+        return todo.withColumn("passage", passage()).mapInPandas(run, whole.schema)
 
     def clear(self) -> None:
         fs, at = self._fs(self.base)
         fs.delete(at, True)
 
 
-def passage(text: str, title: str | None) -> str:
-    return f"passage: {title}\n{text}" if title else f"passage: {text}"
+def passage() -> Column:
+    """What is embedded of a chunk: its text below the headings it stands under, or the file's name without its ending."""
+    name = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.[^.]*$", "")
+    title = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " > ")).otherwise(name)
+    return F.concat(F.lit("passage: "), title, F.lit("\n"), F.col("text"))
 
 
 def searchable() -> Column:
