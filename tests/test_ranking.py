@@ -92,3 +92,12 @@ def test_chunks(notes):
     assert [r["text"].split()[0] for r in long] == ["w0", "w6", "w12", "w18"]
     plain = chunker.chunks(notes("---\ntags: [t]\ndate: 2020-01-01\n---\n" + "word " * 8), chunker.ChunkConfig(5, 0, 1, 0)).orderBy("seq").collect()
     assert all(r["tags"] == ["t"] and r["date"] == 1577836800 and r["heading"] is None for r in plain)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 9000])
+def test_ranks_of_all(spark, n):
+    """Ranks by bands are those of the whole order; half of the rows share a score."""
+    scored = spark.range(n, numPartitions=4).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(50)) / 10.0).alias("score"))
+    want = {r["k"]: i for i, r in enumerate(sorted(scored.collect(), key=lambda r: (-r["score"], r["k"])), start=1)}
+    ranks = fusion.ranked(scored, "k")
+    assert {r["k"]: r["rank"] for r in ranks.collect()} == want and ranks.count() == n

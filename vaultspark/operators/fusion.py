@@ -7,11 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bands that a whole order is cut into, and rows of the sample, by hash of the key, that cuts them.
+BANDS, SAMPLE_ROWS = 64, 4096
+
+
 def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """(key, rank) by score, then key. With a limit the order is a distributed top-k before the ranks are given."""
+    """(key, rank) by score, then key. With a limit the order is a distributed top-k before the ranks are given.
+
+    Without one, a sample of rows cuts the order in bands, also between equal scores; a rank is the
+    place in its band after the sizes of the bands before, so no task orders all rows.
+    """
+    order = [F.desc("score"), F.asc(key)]
     if limit is not None:
-        scored = scored.orderBy(F.desc("score"), key).limit(limit)
-    return scored.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
+        few = scored.orderBy(*order).limit(limit)
+        return few.select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    own = F.struct((-F.col("score")).alias("down"), F.col(key).alias("at"))
+    sample = scored.select(own.alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    size = F.size("_x")
+    step = F.greatest(F.lit(1), F.floor(size / BANDS).cast("int"))
+    cuts = sample.select(F.filter("_x", lambda x, i: (i > 0) & (i % step == 0)).alias("_cuts"))  # one row
+    banded = scored.select(key, "score").crossJoin(F.broadcast(cuts)).select(key, "score", F.size(F.filter("_cuts", lambda x: x <= own)).alias("_band"))
+    sizes = banded.groupBy("_band").agg(F.count("*").alias("_n"))
+    before = sizes.select("_band", (F.sum("_n").over(Window.orderBy("_band")) - F.col("_n")).alias("_before"))  # a row a band
+    place = F.row_number().over(Window.partitionBy("_band").orderBy(*order))
+    return banded.withColumn("rank", place).join(F.broadcast(before), "_band").select(key, (F.col("_before") + F.col("rank")).alias("rank"))
 
 
 def _literal(value, kind: T.DataType) -> Column:
