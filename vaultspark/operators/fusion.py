@@ -21,6 +21,7 @@ def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     if limit is not None:
         few = scored.orderBy(*order).limit(limit)
         return few.select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    scored = scored.select(key, "score").repartition(key)  # narrow rows, so that this exchange serves the three uses below
     own = F.struct((-F.col("score")).alias("down"), F.col(key).alias("at"))
     sample = scored.select(own.alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).agg(F.sort_array(F.collect_list("x")).alias("_x"))
     size = F.size("_x")
