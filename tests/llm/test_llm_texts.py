@@ -93,6 +93,17 @@ def test_language_accuracy_and_odd_rows(spark):
     assert kept.columns == odd(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 6, 6, 7]
 
 
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    copies = spark.range(20_000).selectExpr("concat('text ', id % 20) as text", "'xx' as lang")
+    docs = copies.unionByName(spark.createDataFrame([("one", "yy"), ("two", "yy")], "text string, lang string"))
+    want = {"xx": sorted(f"text {i}".encode() for i in range(20)), "yy": [b"one", b"two"]}
+    assert {k: sorted(v) for k, v in langid.sample(docs, "text", "lang").items()} == want
+    whole = langid.sample(docs, "text", "lang", texts=3)
+    assert len(whole["xx"]) == 3
+    monkeypatch.setattr(langid.F, "approx_count_distinct", lambda c: langid.F.count(c))  # an estimate far too high
+    assert langid.sample(docs, "text", "lang", texts=3) == whole
+
+
 # --- Katz -----------------------------------------------------------------------------------
 
 

@@ -137,25 +137,31 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def sample(docs: DataFrame, text: str, lang: str, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
     """Up to `texts` distinct whole texts of each language, the first in hash order.
 
-    A first scan counts rows by language; the second keeps the share of the hash space that holds
-    about four times the sample, so neither a hot text nor a large language is gathered in a task.
+    A first scan estimates the distinct texts of each language; the second keeps the share of the
+    hash space that holds about four times the sample, so neither a hot text nor a large language is
+    gathered in a task. Where that gives too few texts, the share is widened up to the whole space.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    h = F.col("h")
-    share = F.lit(False)
-    for name, n in sorted(counts.items()):
-        share = share | ((F.col("lang") == name) & (h < int(2**32 * min(1.0, 4 * texts / n))))
-    few = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(2**32))).where(share).dropDuplicates(["lang", "h"])
+    distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
+    shares = {name: min(1.0, 4 * texts / max(n, 1)) for name, n in distinct.items()}
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(2**32)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     found: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
-    for r in few.withColumn("r", rank).where(F.col("r") <= texts).orderBy("lang", "r").toLocalIterator():
-        if size.get(r["lang"], 0) < most:
-            found.setdefault(r["lang"], []).append(r["text"].encode())
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode())
+    while shares:
+        share = F.lit(False)
+        for name, x in sorted(shares.items()):
+            share = share | ((F.col("lang") == name) & (F.col("h") < int(2**32 * x)))
+        few = hashed.where(share).dropDuplicates(["lang", "h"])
+        got: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+        count = dict.fromkeys(shares, 0)
+        for r in few.withColumn("r", rank).where(F.col("r") <= texts).orderBy("lang", "r").toLocalIterator():
+            count[r["lang"]] += 1
+            if size.get(r["lang"], 0) < most:
+                got.setdefault(r["lang"], []).append(r["text"].encode())
+                size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode())
+        found |= got
+        shares = {name: min(1.0, 8 * x) for name, x in shares.items() if count[name] < texts and x < 1}
     return found
 
 
