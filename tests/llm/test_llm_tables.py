@@ -192,6 +192,19 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(decontaminate.contaminated(docs, items).select("doc_id", "item_id", "score").collect()) == sorted(one)
 
 
+def test_items_without_a_seed_are_found_verbatim(spark, caplog):
+    plain = [(i, "the of the to the of " * 40) for i in range(50)]
+    han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427"
+    more = [(100, "xylem so The OF, of it"), (101, "before" + "\u6211\u8bf4" + han + "\u3002"), (102, "it of of"), (103, "of the of"), (104, "to"), (105, "the the " * 10), (106, "the " * 9), (None, None)]
+    docs = spark.createDataFrame(plain + more, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the of of"), (2, han), (3, "xylem"), (4, "the " * 15), (5, "of to"), (6, None), (7, "..")], "item_id long, text string")
+    want = {(100, 1), (101, 2), (100, 3), (105, 4)}
+    rows = decontaminate.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and all(r["share"] == 1 for r in rows)
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()} == {i for i, _ in plain + more} - {d for d, _ in want}
+    assert "4 of 6 test items" in caplog.text
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(0)
     a = [rng.integers(0, 6, rng.integers(1, 20)).astype(np.uint64) for _ in range(60)]

@@ -4,11 +4,13 @@ The test items are a query set, held by every worker in blocks of bounded size.
 item the seed is the shortest n-gram that chance alone would hardly put in the corpus: its words'
 information, by their frequency in the whole corpus, exceeds that of the corpus' length. A passage
 that shares a seed with an item is aligned with it, word by word, so edits, insertions and losses
-around the seed count as what they are. Documents are never shuffled.
+around the seed count as what they are. An item without such a seed is searched for verbatim.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, hash_spans, lower_ascii, ngram_hashes, table, text_bytes, tune, words
 
+_log = logging.getLogger(__name__)
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A leak scores at least half of what the whole item would, or as much as this many equal words.
 SHARE, ENOUGH = 0.5, 13
@@ -32,9 +36,35 @@ _DROP = np.zeros(256, bool)
 _DROP[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+#: By the first two bytes of a character, whether its script is written without spaces: Thai, Lao,
+#: Tibetan; Myanmar; Khmer; radicals; Kana, Bopomofo, Han; compatibility Han; full-width forms; more Han.
+_UNSPACED = np.zeros(1 << 16, bool)
+for _first, _last in ((0xE0B8, 0xE0BF), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE2BA, 0xE2BF), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBF), (0xF0A0, 0xF0B3)):
+    _UNSPACED[_first : _last + 1] = True
+
+
+def unspaced_cuts(data: np.ndarray) -> np.ndarray:
+    """Places before and after each character of a script without spaces."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at
+    code = data[at].astype(np.int64) << 8 | data[at + 1]
+    at = at[_UNSPACED[code] & ~((code == 0xE182) & (data[at + 2] >= 0xA0))]  # Georgian begins there
+    return np.unique(np.concatenate([at, at + 3 + (data[at] >= 0xF0)]))
+
+
 def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, lower-cased and without ASCII punctuation, and how many each row has."""
+    """Hashes of the words, lower-cased and without ASCII punctuation, and how many each row has.
+
+    Each character of a script without spaces is a word.
+    """
     starts, ends, n = words(data, offsets)
+    cuts = unspaced_cuts(data)
+    if len(cuts):
+        own = np.searchsorted(starts, cuts, "right") - 1
+        cuts = cuts[(own >= 0) & (cuts > starts[own]) & (cuts < ends[own])]
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        n = np.diff(np.searchsorted(starts, offsets))
     low = lower_ascii(data)
     if len(low) > 1:  # capital letters of Latin-1
         low[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
@@ -49,19 +79,38 @@ def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass
 class Items:
-    """A block of test items: their words, one after another, and their seeds."""
+    """A block of test items: their words, one after another, their seeds, and whole items without one."""
 
     ids: list
     word: np.ndarray
     offsets: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes, their places in `word`, a bitmap
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in `h` and in `word` where the same seed begins."""
+    exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # the same of items without a seed: the item, or ENOUGH words of it
+    seedless: int  # number of those items
+
+    def hits(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `h` and in `word` where the same seed begins, or an item without one stands in a row of `bounds`."""
+        here, there = self._meet(self.seeds, h)
+        if self.exact:
+            at, place = self._meet(self.exact, h, bounds)
+            row, item = np.searchsorted(bounds, at, "right") - 1, np.searchsorted(self.offsets, place, "right") - 1
+            whole = np.diff(self.offsets)[item] <= ENOUGH  # all alike, so a row's first is enough
+            order = np.lexsort((at, item, row))
+            order = order[whole[order]]
+            new = np.r_[True, (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])][: len(order)]
+            taken = np.concatenate([np.flatnonzero(~whole), order[new]])
+            here, there = np.concatenate([here, at[taken]]), np.concatenate([there, place[taken]])
+        return here, there
+
+    @staticmethod
+    def _meet(seeds: dict, h: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of `seeds` in `h` and in `word`; with `bounds` only those within a row."""
         here, there = [], []
-        for n, (seed, place, bitmap) in self.seeds.items():
+        for n, (seed, place, bitmap) in seeds.items():
             g = ngram_hashes(h, n)
             at = np.flatnonzero(bitmap[(g & np.uint64(len(bitmap) - 1)).astype(np.int64)])
+            if bounds is not None:
+                at = at[at + n <= bounds[np.searchsorted(bounds, at, "right")]]
             first, last = np.searchsorted(seed, g[at], "left"), np.searchsorted(seed, g[at], "right")
             size = last - first
             if size.sum():
@@ -82,19 +131,28 @@ def build(ids: list, texts: list[str], counts: dict[int, int], corpus_words: int
     total = np.concatenate([[0.0], np.cumsum(bits)])
     end = np.repeat(bounds[1:], n)
     at = np.arange(len(word))
-    open_, seeds = np.ones(len(word), bool), {}
+    open_, seeds, exact = np.ones(len(word), bool), {}, {}
+
+    def table_of(size: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g = ngram_hashes(word, size)[place]
+        order = np.argsort(g, kind="stable")
+        bitmap = np.zeros(1 << max(16, int(len(place) * 16).bit_length()), bool)
+        bitmap[(g & np.uint64(len(bitmap) - 1)).astype(np.int64)] = True
+        return g[order], place[order], bitmap
+
     for size in SEED_WORDS:
         fits = open_ & (at + size <= end)
         fits &= np.where(fits, total[np.minimum(at + size, len(word))] - total[at] >= need, False)
         open_ &= ~fits
         place = np.flatnonzero(fits)
         if len(place):
-            g = ngram_hashes(word, size)[place]
-            order = np.argsort(g, kind="stable")
-            bitmap = np.zeros(1 << max(16, int(len(place) * 16).bit_length()), bool)
-            bitmap[(g & np.uint64(len(bitmap) - 1)).astype(np.int64)] = True
-            seeds[size] = (g[order], place[order], bitmap)
-    return Items(ids, word, bounds, seeds)
+            seeds[size] = table_of(size, place)
+    bare = np.bincount(np.repeat(np.arange(len(n)), n)[~open_], minlength=len(n)) == 0
+    bare &= n > 0
+    length = np.repeat(np.where(bare, np.minimum(n, ENOUGH), 0), n)
+    for size in np.unique(length[length > 0]).tolist():
+        exact[size] = table_of(size, np.flatnonzero((length == size) & (at + size <= end)))
+    return Items(ids, word, bounds, seeds, exact, int(bare.sum()))
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +180,10 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
 
 def align(h: np.ndarray, n: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(row, item, score, word in the row where it ends) of every leak among rows of words `h`, `n` to a row."""
-    here, there = items.hits(h)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    here, there = items.hits(h, bounds)
     if not len(here):
         return []
-    bounds = np.concatenate([[0], np.cumsum(n)])
     row = np.searchsorted(bounds, here, "right") - 1
     item = np.searchsorted(items.offsets, there, "right") - 1
     diagonal = here - bounds[row] - (there - items.offsets[item])
@@ -206,7 +264,10 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterato
         texts = [r["text"] for r in rows]
         wanted = np.unique(normal_words(*text_bytes(pa.array(texts, pa.string())))[0])
         counts, total = word_counts(docs, text, wanted)
-        yield build([r["item_id"] for r in rows], texts, counts, total)
+        items = build([r["item_id"] for r in rows], texts, counts, total)
+        if items.seedless:
+            _log.warning("%d of %d test items have no seed rarer than chance; they are searched for verbatim", items.seedless, len(items.ids))
+        yield items
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -215,7 +276,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     score is the best alignment's (2 a match, -1 a mismatch or gap), share that of the highest
     possible, word_end the word of the text where the copy ends. Null and empty texts and items
     hold and match nothing; repeated rows give one pair. Items too short or too common to have a
-    seed are not searched for.
+    seed are found where they stand verbatim (of longer ones, 13 words in a row), edited copies of
+    them are not; their number is logged. A character of a script without spaces counts as a word.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType
