@@ -147,6 +147,16 @@ def test_near_duplicates_agree_with_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_repeated_id_keeps_a_row_of_each_component(spark):
+    a, b, c = (r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(3).collect())
+    near = [t for w in ("x", "y") for t in (b + " " + w, b.upper())]
+    docs = docs_of(spark, (1, a), (1, b), (1, b), *((1, t) for t in near), (2, b), (2, c), (3, c), (None, a), (4, None), (4, ""))
+    rows = simhash.near_duplicates(docs).collect()
+    assert len({r["fingerprint"] for r in rows}) >= 4
+    kept = [(r["doc_id"], (r["text"] or "").lower()[:50]) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a.lower()[:50]), (1, b.lower()[:50]), (2, c.lower()[:50]), (None, a.lower()[:50]), (4, "")], key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (100, 300), (5, 5), (None, 1)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

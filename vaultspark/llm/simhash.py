@@ -231,6 +231,13 @@ def links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------------
 
 
+def _rooted(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, least): each fingerprint and its smallest doc_id; (fp, root): the component of those that have links."""
+    distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found, _ = materialize(links(distinct).distinct(), "links")
+    return distinct, connected_components(found).withColumnsRenamed({"node": "fp"})
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of `docs`.
 
@@ -240,9 +247,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
     null if no document of the component has an id). Other columns of `docs` are left out.
     """
     fps, _ = materialize(fingerprints(docs, text, shingle), "fingerprints")
-    distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found, _ = materialize(links(distinct).distinct(), "links")
-    roots = connected_components(found).withColumnsRenamed({"node": "fp"})
+    distinct, roots = _rooted(fps)
     rooted = distinct.join(roots, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     joined = rooted.join(least, "root").select("fp", "component")
@@ -257,10 +262,13 @@ def op4(spark, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: the row of its smallest doc_id; a row without id is kept.
 
-    Where that row is repeated with the same doc_id, one of them stays.
+    Where that id is repeated in the component, one of its rows stays (that of the smallest text
+    hash); where it is repeated in another component, each component keeps its own row.
     """
     names = docs.columns
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")))
+    distinct, roots = _rooted(fingerprints(docs.select(key.alias("doc_id"), "text")))
+    least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    keep = least.where("least is not null").select(F.col("least.id").alias("doc_id"), F.col("least.text_hash").alias("_text_hash"))
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(keep, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
     return kept.select(names).unionByName(docs.where("doc_id is null").select(names))
