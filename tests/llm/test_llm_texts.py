@@ -93,6 +93,13 @@ def test_language_accuracy_and_odd_rows(spark):
     assert kept.columns == odd(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 6, 6, 7]
 
 
+def test_documents_stay_where_no_language_was_learned(spark):
+    unknown = odd(spark).withColumn("lang", langid.F.lit(None).cast("string"))
+    for docs in (odd(spark), unknown):
+        kept = langid.keep_identified(docs)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 6, 6, 7]
+
+
 def test_copies_do_not_thin_the_sample(spark, monkeypatch):
     copies = spark.range(20_000).selectExpr("concat('text ', id % 20) as text", "'xx' as lang")
     docs = copies.unionByName(spark.createDataFrame([("one", "yy"), ("two", "yy")], "text string, lang string"))

@@ -216,7 +216,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language; those judged `und` go."""
+    """The documents whose text has a language; those judged `und` go.
+
+    `und` is a text without a letter, so the letter test decides and the model's scores do not. It
+    also decides where nothing was learned and `predict` calls every document `und`.
+    """
     names = docs.columns
     model = fit(docs.where(fold("doc_id", 4) != 2))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return predict(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(names)
