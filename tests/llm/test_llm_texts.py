@@ -208,6 +208,14 @@ def test_field_adds_and_keeps(field):
         assert set(pii.base_spans(text)) <= set(found)
 
 
+def test_field_sees_spelled_out_addresses(field):
+    cases = {"write to ann [ at ] example [ dot ] com for more": "ann [ at ] example [ dot ] com", "mail ann (At) example (Dot) org please": "ann (At) example (Dot) org", "ann at example dot org": "ann at example dot org", "reach j.doe at mail dot example dot org any time": "j.doe at mail dot example dot org"}
+    for (text, want), found in zip(cases.items(), pii.find(list(cases), field)):
+        assert [(k, text[a:b]) for k, a, b in found] == [("email", want)], text
+    plain = ["Look at the dot on the map and tell them", "they arrive at a dot com company later", "meet at noon, then connect each dot of it"]
+    assert pii.find(plain, field) == [[], [], []]
+
+
 def test_viterbi_is_exact(field):
     rng = np.random.default_rng(1)
     scores = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 4, 3)]

@@ -3,7 +3,7 @@
 The field labels tokens (runs of letters, runs of digits, single signs) with O or the begin or
 inside of a kind. Its features are word shapes of the token and its neighbours. It is trained on a
 small labelled table of lines and decoded by Viterbi over padded batches in numpy. A token far from
-any digit or at-sign is O by the model's structure, so only windows around those are decoded.
+any digit, at-sign or spelled-out at is O by the model's structure, so only windows around those are decoded.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the conditional random field -----------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]")
-#: Code points on either side of a digit or at-sign that the field looks at.
+_TRIGGER = re.compile(r"[0-9@]|[\[({]\s*[aA][tT]\s*[\])}]|\b[aA][tT]\b(?=\W{1,3}(?:[\w-]+\W{1,3}){1,5}?[dD][oO][tT]\b)")
+#: Code points on either side of a digit, at-sign or spelled-out at that the field looks at.
 WINDOW = 60
 
 
@@ -222,7 +222,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80,
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches within WINDOW of a digit or at-sign, widened to white space, joined where they meet."""
+    """Stretches within WINDOW of a digit, at-sign or spelled-out at, widened to white space, joined where they meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - WINDOW), min(len(text), m.end() + WINDOW)
@@ -291,6 +291,13 @@ def labelled_lines() -> list[tuple[str, list[tuple[str, int, int]]]]:
             f"or {{email:{name}@example.org}}.",
             f"reach me: {{email:{name} [at] example{i} [dot] com}} any time",
             f"contact {{email:{name}(at)example(dot)org}} for more of this",
+            f"write to {{email:{name} [ at ] example{i} [ dot ] com}} for more",
+            f"mail {{email:{name} (At) example (Dot) org}} please",
+            f"reach {{email:{name} at example dot org}} any time",
+            f"or {{email:{name} at mail dot example{i} dot com}}.",
+            f"{{email:{name} at example{i} dot org}}",
+            "look at the dot on the map, and at each dot of the line",
+            "they were at a dot com company and looked at every single dot there",
             f"the host {{ip:{a}.{b}.{c}.{d}}} did not answer",
             f"seen from {{ip:{d}.{c}.{b}.{a}}}, then from {{ip:{c}.{a}.{d}.{b}}} again",
             f"paid with {{card:{card}}} at the door",
