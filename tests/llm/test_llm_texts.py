@@ -208,6 +208,11 @@ def test_field_adds_and_keeps(field):
         assert set(pii.base_spans(text)) <= set(found)
 
 
+def test_labelled_table_fills_each_layout_24_times():
+    lines = [t for t, _ in pii.labelled_lines()]
+    assert sum(t.startswith("the host ") for t in lines) == sum(t.startswith("Call ") for t in lines) == 24
+
+
 def test_field_sees_spelled_out_addresses(field):
     cases = {"write to ann [ at ] example [ dot ] com for more": "ann [ at ] example [ dot ] com", "mail ann (At) example (Dot) org please": "ann (At) example (Dot) org", "ann at example dot org": "ann at example dot org", "reach j.doe at mail dot example dot org any time": "j.doe at mail dot example dot org"}
     for (text, want), found in zip(cases.items(), pii.find(list(cases), field)):
