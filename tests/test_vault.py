@@ -86,6 +86,15 @@ def test_operations(vault):
     assert run("search", query="rust programming", mode="dense")["mode_used"] == "sparse"
 
 
+def test_daily_notes_lack_excluded_sections(vault):
+    with open(f"{vault.path}/2025-01-22.md", "w") as f:
+        f.write("day two\n# A Secret\nhidden\n## Below\nhidden\n# Open\nshown\n")
+    want = "day two\n# Open\nshown\n"
+    assert api.read_files(vault, ["2025-01-22.md"])["files"][0]["content"] == want
+    assert api.get_daily_note(vault, "2025-01-22")["content"] == want
+    assert [n["content"] for n in api.search_daily_notes(vault, "2025-01-20", "2025-01-22", include_content=True)["notes"]] == [want, "day one"]
+
+
 def test_days():
     assert daily.bounds(None, None, datetime.date(2025, 3, 1)) == ("2025-01-31", "2025-03-01")
     for a, b in (("2025-01-02", "2025-01-01"), ("2024-01-01", "2025-01-01"), ("2024-1-1", "2024-01-02"), ("2025-02-30", None)):

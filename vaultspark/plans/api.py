@@ -52,6 +52,11 @@ def list_files(vault: Vault, subpath: str = "", max_depth: int | None = None, in
     return {"visual_tree": files.render(rows, subpath or vault.path.rsplit("/", 1)[-1], include_sizes), **_rows(files.tree_totals(rows))[0]}
 
 
+def _shown(vault: Vault) -> DataFrame:
+    """The notes without the sections of excluded headings."""
+    return outline.without_sections(vault.notes(), list(vault.config.exclude_headings))
+
+
 def read_files(vault: Vault, file_paths: list[str], continue_on_error: bool = False) -> dict:
     """Without `continue_on_error` the first file that cannot be read, or no file at all, is a ValueError."""
     if not file_paths and not continue_on_error:
@@ -63,8 +68,7 @@ def read_files(vault: Vault, file_paths: list[str], continue_on_error: bool = Fa
             good.append(p)
         except ValueError as e:
             bad[p] = str(e)
-    notes = outline.without_sections(vault.notes(), list(vault.config.exclude_headings))
-    found = {r["file_path"]: r for r in _rows(files.read(notes, good))} if good else {}
+    found = {r["file_path"]: r for r in _rows(files.read(_shown(vault), good))} if good else {}
     out = [found.get(p) or {"file_path": p, "file_name": p.rsplit("/", 1)[-1], "success": False, "content": None, "error": bad[p]} for p in file_paths]
     failed = [r for r in out if not r["success"]]
     if failed and not continue_on_error:
@@ -77,11 +81,11 @@ def recent_files(vault: Vault, limit: int = 20, since: str | None = None) -> dic
 
 
 def get_daily_note(vault: Vault, date: str) -> dict:
-    return _rows(daily.get(vault.notes(), date, vault.config.daily_note_patterns))[0]
+    return _rows(daily.get(_shown(vault), date, vault.config.daily_note_patterns))[0]
 
 
 def search_daily_notes(vault: Vault, start_date: str | None = None, end_date: str | None = None, sort: str = "desc", limit: int = 100, include_content: bool = False) -> dict:
-    return {"notes": _rows(daily.search(vault.notes(), start_date, end_date, sort, limit, include_content, vault.config.daily_note_patterns))}
+    return {"notes": _rows(daily.search(_shown(vault), start_date, end_date, sort, limit, include_content, vault.config.daily_note_patterns))}
 
 
 def get_outline(vault: Vault, file_path: str, hierarchical: bool = False) -> dict:
