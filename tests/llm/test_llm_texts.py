@@ -1,5 +1,6 @@
 """Language ID, Katz model, PII, BPE and toxicity: edge rows, and brute force or held-out accuracy."""
 
+import functools
 import hashlib
 import math
 import random
@@ -114,30 +115,55 @@ def test_copies_do_not_thin_the_sample(spark, monkeypatch):
 # --- Katz -----------------------------------------------------------------------------------
 
 
-def brute_katz(rows):
-    """rows: (learn, text); n_tokens, n_known, base, score of each, and the model's P(w2 | w1)."""
+def brute_katz(rows, order=katz.ORDER):
+    """rows: (learn, text); n_tokens, n_known, base, score of each, and the model's P(word | history)."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "<end>"] for _, t in rows]
-    c, pair = Counter(), Counter()
+    c = [Counter() for _ in range(order)]
+    past = lambda t, i, n: tuple(["<end>", *t][i + 2 - n : i + 2])  # noqa: E731  the n-gram that ends at token i
     for (learn, _), t in zip(rows, toks):
-        if learn:
-            c.update(t)
-            pair.update(zip(["<end>", *t[:-1]], t))
-    n, v = sum(c.values()), len(c)
-    star = lambda r, s: r - s[-1] if r > katz.K else s[r]
-    s1, s2 = (katz.discounted([list(x.values()).count(r) for r in range(1, katz.K + 2)]) for x in (c, pair))
-    unknown = 1 - sum(star(r, s1) for r in c.values()) / n if n else 1.0
-    p1 = lambda w: star(c[w], s1) / n if w in c else unknown
-    after = defaultdict(list)
-    for (a, b), r in pair.items():
-        after[a].append((b, r))
-    alpha = {a: (1 - sum(star(r, s2) / c[a] for _, r in x)) / (1 - sum(p1(b) for b, _ in x)) for a, x in after.items()}
-
-    def p(a, b):
-        return star(pair[a, b], s2) / c[a] if (a, b) in pair else alpha.get(a, 1.0) * p1(b)
-
-    out = [(len(t), sum(w in c for w in t), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), sum(math.log10(p(a, b)) for a, b in zip(["<end>", *t[:-1]], t))) for t in toks]
-    return out, p, [*c, "<unknown>"]
+        for i in range(len(t) if learn else 0):
+            for n in range(1, min(order, i + 2) + 1):
+                c[n - 1][past(t, i, n)] += 1
+    total, v = sum(c[0].values()), len(c[0])
+
+    def discount(counts):
+        n = [0, *(list(counts.values()).count(r) for r in range(1, katz.K + 2))]
+        out = {}
+        for r in range(1, katz.K + 1):
+            a = (katz.K + 1) * n[katz.K + 1] / n[1] if n[1] else 1
+            d = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) if n[r] and a < 1 else 0
+            out[r] = d if 0 < d < 1 else (r - 0.5) / r
+        return out
+
+    d = [discount(x) for x in c]
+    after = [defaultdict(list) for _ in range(order)]
+    for n in range(order):
+        for g in c[n]:
+            after[n][g[:-1]].append(g)
+
+    @functools.cache
+    def sums(history):
+        """What the history's continuations have in all, how much of it is left, and the weight of the shorter history."""
+        n, seen = len(history), after[len(history)].get(history, [])
+        counts = [c[n][g] for g in seen]
+        whole = sum(counts) + (all(r > katz.K for r in counts))
+        left = (whole - sum(d[n].get(r, 1) * r for r in counts)) / whole
+        return whole, left, left / (1 - sum(p(history[1:], g[-1]) for g in seen)) if n and seen else left
+
+    def p(history, word):
+        n = len(history)
+        if history not in after[n] and n:
+            return p(history[1:], word)
+        whole, left, weight = sums(history)
+        if (*history, word) in c[n]:
+            r = c[n][*history, word]
+            return d[n].get(r, 1) * r / whole
+        return weight * p(history[1:], word) if n else left
+
+    each = lambda t, i: p(past(t, i, min(order, i + 2))[:-1], t[i])
+    out = [(len(t), sum((w,) in c[0] for w in t), sum(math.log10((c[0][w,] + 0.1) / (total + 0.1 * (v + 1))) for w in t), sum(math.log10(each(t, i)) for i in range(len(t)))) for t in toks]
+    return out, p, [*(w for (w,) in c[0]), "<unknown>"]
 
 
 def test_katz_agrees_with_brute_force_and_sums_to_one(spark, monkeypatch):
@@ -150,8 +176,32 @@ def test_katz_agrees_with_brute_force_and_sums_to_one(spark, monkeypatch):
         assert g["base_score"] == pytest.approx(w[2]) and g["score"] == pytest.approx(w[3])
     held = [g for g, (learn, _) in zip(got, rows) if not learn]
     assert all(g["held_out"] for g in held) and sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
-    for context in ("<end>", "the", "never met"):
-        assert sum(p(context, w) for w in events) == pytest.approx(1)
+    followed = next(t.lower().split() for learn, t in rows if learn and t and len(t.split()) > 9)
+    for history in ((), ("<end>",), ("the",), ("never met",), ("<end>", followed[0]), (followed[3], followed[4])):
+        assert sum(p(history, w) for w in events) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_katz_of_any_order_in_small_blocks_and_buckets(spark, monkeypatch, order):
+    """Counts above K, histories without a discounted word, and n-grams that cross blocks and buckets."""
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 200)
+    random.seed(order)
+    rows = [(i % 4 > 0, " ".join(random.choices("a b c d e".split(), k=random.randint(0, 40)) if i % 3 else ["x", "y", "z"] * 4 + random.choices("abcxyz", k=i % 5))) for i in range(80)]
+    df = spark.createDataFrame([(i, learn, t) for i, (learn, t) in enumerate(rows)], "doc_id long, learn boolean, text string")
+    got = katz.score(df, "learn", order=order).orderBy("doc_id").collect()
+    want, _, _ = brute_katz(rows, order)
+    assert [(g["n_tokens"], g["n_known"]) for g in got] == [w[:2] for w in want]
+    assert [g["score"] for g in got] == pytest.approx([w[3] for w in want])
+    assert [g["base_score"] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_katz_totals_above_32_bits():
+    key = np.array([7, 9], np.uint64)
+    asked = [{"block": i, "bucket": 0, "parts": [katz.pack_sorted(key), katz.pack(np.array([4_000_000_000, 1], np.uint32))]} for i in range(2)]
+    first, second, sums = katz.answers(asked)
+    assert katz.unpack(first["parts"][0], np.int64).tolist() == katz.unpack(second["parts"][0], np.int64).tolist() == [8_000_000_000, 2]
+    assert sums["stats"][:2] == [8_000_000_002, 2] and np.unpackbits(np.frombuffer(first["parts"][1], np.uint8), count=2).all()
 
 
 def test_katz_odd_rows(spark):

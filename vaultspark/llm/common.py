@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..workers import ship
 
-#: Rows of one Arrow batch handed to Python; bounds a worker's memory on long texts.
-ARROW_ROWS = 256
 #: Bytes of text that numpy works on at once.
 CHUNK_BYTES = 1 << 20
 
@@ -24,9 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep the Arrow batches sent to Python small (texts may be long); let workers find this package."""
+    """Let Python workers find this package. Batches stay as the session has them (64 MB at most by default); see `slices`."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of its string column `text`, so a worker's memory follows bytes, not rows.
+
+    A longer row stands alone; an empty batch gives none.
+    """
+    if not batch.num_rows:
+        return
+    _, offsets = text_bytes(batch.column(text))
+    for a, b in chunks(offsets, most):
+        yield batch.slice(a, b - a)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -40,29 +49,68 @@ def fold(id_col: str, folds: int) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; one of our own only where the session names none."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and (set_by_call := context._jsc.sc().getCheckpointDir()).isDefined():
+        where = set_by_call.get()
     if where is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.gettempdir()}/vaultspark-{spark.sparkContext.applicationId}"
+        where = f"file://{tempfile.gettempdir()}/vaultspark-{context.applicationId}"
     return where.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    The write's shuffle files go when it is done. The table goes with `release`, or with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Remove a table that `materialize` wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that `materialize` wrote and nothing reads any more."""
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+
+
+#: More keys than this are never sent to all workers as hot ones.
+HOT_KEYS = 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """`left` joined with `right` on `key`, the rows of hot keys dealt over many tasks.
+
+    A key is hot if `left` has more than 1/most of its rows there, so there are fewer than `most` hot
+    keys, which is what makes them small enough to broadcast. Each gets a number of salts in proportion;
+    `right`'s rows of it are repeated for each salt. Null keys match nothing. `left` is read twice more.
+    """
+    share = max(1, -(-left.count() // most))
+    count = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share)
+    hot = F.broadcast(count.select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")))  # fewer than `most` rows
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).drop("_salts")
+    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
 # --- Arrow text -----------------------------------------------------------------------------

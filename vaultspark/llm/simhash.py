@@ -223,7 +223,6 @@ def links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
 
     spark = distinct.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
     dealt = distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(linked, "a long, b long")
 
