@@ -1,4 +1,5 @@
 import datetime
+import io
 import json
 import os
 import threading
@@ -8,13 +9,15 @@ from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from vaultspark.__main__ import main
 from vaultspark.config import Config, SearchConfig, load, task_limit
 from vaultspark.operators import daily, files
+from vaultspark.operators.chunker import chunks
 from vaultspark.plans import api, index
 from vaultspark.plans.search import Mode, search
-from vaultspark.server import PATHS, serve
+from vaultspark.server import PATHS, converse, serve
 from vaultspark.sources.endpoint import Endpoint, unit
 from vaultspark.sources.vault import Vault, excluded, from_files
 from vaultspark.streaming import ingest
@@ -86,6 +89,75 @@ def test_operations(vault):
     assert run("search", query="rust programming", mode="dense")["mode_used"] == "sparse"
 
 
+def test_files_and_paths_that_are_missing_or_no_notes(vault):
+    run = lambda name, **kw: json.loads(api.execute(vault, name, kw))
+    assert [t["content"] for t in run("tasks", path="rust.md")] == ["learn rust"] and run("tasks", path="Template/t.md") != []
+    assert run("tasks", path="image.png") == [] and run("tasks", path="sub") == []
+    for name, kw in (("tasks", {"path": "none"}), ("outline", {"file_path": "none.md"}), ("outline", {"file_path": "image.png"}), ("section", {"file_path": "none.md", "heading": "x"}), ("section", {"file_path": "../up.md", "heading": "x"})):
+        with pytest.raises(ValueError):
+            run(name, **kw)
+    assert {k: v for k, v in run("outline", file_path="sub/_python.md").items() if k != "headings"} == {"file_path": "sub/_python.md", "file_name": "_python.md", "total_count": 1}
+    found = run("section", file_path="rust.md", heading="RUST")
+    assert (found["file_name"], found["section_count"], found["sections"][0]["start_line"]) == ("rust.md", 1, 5)
+    assert run("section", file_path="rust.md", heading="none")["sections"] == []
+    assert not run("read-files", file_paths=["Template/t.md", "image.png"], continue_on_error=True)["success_count"]
+
+
+def test_empty_folders_are_listed(vault):
+    os.makedirs(f"{vault.path}/sub/deep/empty")
+    os.makedirs(f"{vault.path}/.hidden")
+    listed = api.list_files(vault)
+    assert (listed["total_files"], listed["total_dirs"]) == (7, 4) and "      empty/" in listed["visual_tree"].splitlines()
+    one = api.list_files(vault, max_depth=1)
+    assert (one["total_files"], one["total_dirs"]) == (6, 1) and "  sub/" in one["visual_tree"].splitlines() and "deep" not in one["visual_tree"]
+    assert api.list_files(vault, "sub/deep/empty") == {"visual_tree": "sub/deep/empty/", "total_files": 0, "total_dirs": 1}
+
+
+def test_single_files_are_read_alone(vault, monkeypatch):
+    monkeypatch.setattr(Vault, "paths", lambda *_: pytest.fail("the vault was walked"))
+    assert api.get_outline(vault, "rust.md")["total_count"] == 1
+    assert api.get_daily_note(vault, "2025-01-20")["found"] and len(api.search_daily_notes(vault, "2025-01-01", "2025-02-01")["notes"]) == 2
+    assert api.read_files(vault, ["graph.md"])["success_count"] == 1
+
+
+def test_tool_server(vault):
+    asked = [{"id": 1, "method": "initialize", "params": {"protocolVersion": "x"}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "list_tags", "arguments": {"limit": 1}}}, {"id": 4, "method": "tools/call", "params": {"name": "read_files", "arguments": {"file_paths": ["none.md"]}}}, {"id": 5, "method": "tools/call", "params": {"name": "no"}}, {"id": 6, "method": "no"}, {"id": 7, "method": "ping"}]
+    out = io.StringIO()
+    converse(vault, [*(json.dumps({"jsonrpc": "2.0", **x}) + "\n" for x in asked), "\n", "{no\n"], out)
+    got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, None} and got[1]["result"]["protocolVersion"] == "x"
+    listed = {t["name"]: t for t in got[2]["result"]["tools"]}
+    assert len(listed) == 11 and listed["get_daily_note"]["inputSchema"]["required"] == ["date"]
+    assert json.loads(got[3]["result"]["content"][0]["text"])["tags"][0]["tag"] == "lang" and got[4]["result"]["isError"] and "none.md" in got[4]["result"]["content"][0]["text"]
+    assert (got[5]["error"]["code"], got[6]["error"]["code"], got[None]["error"]["code"]) == (-32602, -32601, -32700)
+
+
+def test_prime_names_every_operation(capsys):
+    assert main(["prime"]) == 0
+    text = capsys.readouterr().out
+    assert all(f"## {name}\n" in text for name in api.OPERATIONS) and "`--exclude-tags` (comma-separated list)" in text
+
+
+def test_old_versions_of_the_index_go(vault):
+    own = api._index(vault)
+    for k in range(4):
+        with open(f"{vault.path}/more.md", "w") as f:
+            f.write(f"a note that has changed {k} times since it was written down for the first time")
+        own.build(vault.notes())
+    versions = lambda: [x for x in os.listdir(own.base.removeprefix("file://")) if x.startswith("v=")]
+    assert len(versions()) == 2 and f"v={own.version()}" in versions()
+    assert len([x for x in os.listdir(own.base.removeprefix("file://") + "/current") if x.startswith("part-")]) == 2
+    own.build(vault.notes(), reindex=True)
+    assert versions() == [f"v={own.version()}"] and own.table("chunks").count() > 0
+
+
+def test_rows_of_one_path_are_chunked_each(notes):
+    two = notes(("a.md", "# A\n" + "one two three " * 20), ("a.md", "# B\n" + "four five six " * 20), ("b.md", None))
+    assert sorted((r["source_file"], r["heading"], r["text"][:3]) for r in chunks(two).collect()) == [("a.md", "A", "one"), ("a.md", "B", "fou")]
+    nameless = chunks(two.limit(1).withColumn("path", F.lit(None).cast("string"))).collect()
+    assert [(r["id"], r["source_file"], r["heading"]) for r in nameless] == [(None, None, "A")]
+
+
 def test_daily_notes_lack_excluded_sections(vault):
     with open(f"{vault.path}/2025-01-22.md", "w") as f:
         f.write("day two\n# A Secret\nhidden\n## Below\nhidden\n# Open\nshown\n")

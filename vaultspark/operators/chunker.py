@@ -14,9 +14,10 @@ from ..config import Config
 from ..functions.dates import frontmatter_date
 from ..functions.text import MAX_WORD, budget_tokens, low_semantic_value, windows
 from ..workers import ship
-from .outline import sections
+from .outline import with_sections
 from .tags import line_tags
 
+# Fixed value: words for each byte below which a chunk is left out.
 LEAST_DENSITY = 0.03
 _PIECE = re.compile(rf"\S{{1,{MAX_WORD}}}")
 
@@ -115,19 +116,21 @@ def chunks(notes: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """(id, source_file, seq, line_start, line_end, heading, heading_path, tags, date, text) of notes(path, content).
 
     Greedy merging follows a note's sections in order, so a note is chunked by one call; notes are
-    never brought together.
+    never brought together. Repeated paths are chunked each; a null content gives no chunk, a null
+    path chunks whose source and id are null.
     """
     ship(notes.sparkSession)
-    parts = sections(notes.select("path", "content")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "title", "content", "start_line", "end_line"))).alias("sections"))
-    whole = notes.select("path", "content", line_tags("content").alias("tags"), frontmatter_date("content").alias("date")).join(parts, "path")
+    split = with_sections(notes.where("content is not null").select("path", "content"), "sections")
+    whole = split.select("path", "content", line_tags("content").alias("tags"), frontmatter_date("content").alias("date"), "sections")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 plain = all(not s["title"] for s in r["sections"])
+                r["path"], own = r["path"] or "", r["path"]
                 made = chunk_whole(r["path"], r["content"], config) if plain else chunk(r["path"], r["sections"], config)
-                out += [{"source_file": r["path"], "seq": i, **c, "tags": r["tags"], "date": r["date"]} for i, c in enumerate(made)]
+                out += [{**c, "id": c["id"] if own is not None else None, "source_file": own, "seq": i, "tags": r["tags"], "date": r["date"]} for i, c in enumerate(made)]
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     return whole.mapInArrow(run, SCHEMA)

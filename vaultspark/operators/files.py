@@ -12,14 +12,16 @@ ROOT = ""
 
 
 def tree_rows(files: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(path, parent, name, depth, is_dir, size_bytes) of every file of files(path, size) and every folder above.
+    """(path, parent, name, depth, is_dir, size_bytes) of every file of files(path, size[, is_dir]) and every folder above.
 
-    Names that begin with a dot are skipped with all below them. Folders have the size of nothing
-    (null). `max_depth` keeps the first levels.
+    With `is_dir` the rows may be folders too, which need hold nothing. Names that begin with a dot
+    are skipped with all below them. Folders have the size of nothing (null). `max_depth` keeps the
+    first levels.
     """
+    folder = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
     shown = files.where(~F.exists(F.split("path", "/"), lambda x: x.startswith(".")))
     parts = F.split("path", "/")
-    steps = shown.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), i.alias("depth"), (i < F.size(parts)).alias("is_dir"), F.when(i == F.size(parts), F.col("size")).alias("size_bytes")))).alias("e")).select("e.*")
+    steps = shown.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), i.alias("depth"), ((i < F.size(parts)) | folder).alias("is_dir"), F.when((i == F.size(parts)) & ~folder, F.col("size")).alias("size_bytes")))).alias("e")).select("e.*")
     found = steps.groupBy("path", "depth").agg(F.max("is_dir").alias("is_dir"), F.max("size_bytes").alias("size_bytes"))
     name = F.element_at(F.split("path", "/"), -1)
     parent = F.array_join(F.slice(F.split("path", "/"), 1, F.col("depth") - 1), "/")
@@ -34,9 +36,11 @@ def sort_key(is_dir_of: Column, path: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x, i: F.concat(F.when((i < last) | is_dir_of, "0").otherwise("1"), x)), "\u0001")
 
 
-def tree_totals(rows: DataFrame) -> DataFrame:
-    """One row (total_files, total_dirs); the root is a folder."""
-    return rows.agg(F.sum((~F.col("is_dir")).cast("long")).alias("total_files"), (F.sum(F.col("is_dir").cast("long")) + 1).alias("total_dirs"))
+def tree_totals(rows: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """One row (total_files, total_dirs); the root is a folder. Folders at the last level shown are not counted."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    opened = F.col("is_dir") if max_depth is None else F.col("is_dir") & (F.col("depth") < max_depth)
+    return rows.agg(count(~F.col("is_dir")).alias("total_files"), (count(opened) + (0 if max_depth == 0 else 1)).alias("total_dirs"))
 
 
 def render(rows: DataFrame, root: str, include_sizes: bool = False) -> str:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Bands that a whole order is cut into, and rows of the sample, by hash of the key, that cuts them.
-BANDS, SAMPLE_ROWS = 64, 4096
+#: Rows of the sample, by hash of the key, for each of the bands that a whole order is cut into: as many as there are shuffle partitions.
+SAMPLE_ROWS = 64
 
 
 def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
@@ -21,11 +21,12 @@ def ranked(scored: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     if limit is not None:
         few = scored.orderBy(*order).limit(limit)
         return few.select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    bands = max(64, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = scored.select(key, "score").repartition(key)  # narrow rows, so that this exchange serves the three uses below
     own = F.struct((-F.col("score")).alias("down"), F.col(key).alias("at"))
-    sample = scored.select(own.alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    sample = scored.select(own.alias("x")).orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS * bands).agg(F.sort_array(F.collect_list("x")).alias("_x"))
     size = F.size("_x")
-    step = F.greatest(F.lit(1), F.floor(size / BANDS).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(size / bands).cast("int"))
     cuts = sample.select(F.filter("_x", lambda x, i: (i > 0) & (i % step == 0)).alias("_cuts"))  # one row
     banded = scored.select(key, "score").crossJoin(F.broadcast(cuts)).select(key, "score", F.size(F.filter("_cuts", lambda x: x <= own)).alias("_band"))
     sizes = banded.groupBy("_band").agg(F.count("*").alias("_n"))
@@ -41,15 +42,15 @@ def _literal(value, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
-def ranks_of(few: DataFrame, scored: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+def ranks_of(few: DataFrame, scored: DataFrame, key: str, most: int = 500) -> DataFrame:
     """(key, rank) in the whole of `scored` of the few keys that it holds, without ordering the rest.
 
     The few scores cut the range of scores in bands; one aggregation counts each band's rows, and a
-    row's rank is the sum of the bands above. The few, at most `most`, are sent to the driver.
+    row's rank is the sum of the bands above. More than `most` are ranked with all the rest instead.
     """
     mine = few.select(key).join(scored, key).orderBy(F.desc("score"), key).limit(most + 1).collect()
     if len(mine) > most:
-        raise ValueError(f"more than {most} keys")
+        return ranked(scored, key).join(few.select(key).distinct(), key, "left_semi")
     spark = scored.sparkSession
     if not mine:
         return scored.select(key, F.lit(1).alias("rank")).limit(0)

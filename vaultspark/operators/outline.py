@@ -63,16 +63,25 @@ def _section(raw: Column, first: Column, last: Column) -> Column:
     return trim(F.array_join(F.slice(raw, first, F.greatest(last - first + 1, F.lit(0))), ""))
 
 
-def sections(notes: DataFrame, include_subsections: bool = True) -> DataFrame:
-    """(path, seq, level, title, content, start_line, end_line); one of level 0 for a note without headings."""
+def with_sections(notes: DataFrame, out: str, include_subsections: bool = True) -> DataFrame:
+    """`notes` with `out`, the sections (seq, level, title, content, start_line, end_line) of each; one of level 0 without headings."""
     found = with_headings(notes)
     last = F.size("raw")
     none = F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(1).alias("line_number"), F.lit(None).cast("int").alias("parent_line"), F.lit(None).cast("int").alias("close"), F.lit(None).cast("int").alias("next")))
-    rows = found.select("path", "raw", last.alias("total"), F.explode(F.when(F.size("hs") == 0, none).otherwise(_placed(F.col("hs")))).alias("h"))
-    end = F.coalesce(F.col("h.close") if include_subsections else F.col("h.next"), F.col("total"))
-    end = F.when(F.col("h.level") == 0, F.greatest("total", F.lit(1))).otherwise(end)
-    first = F.when(F.col("h.level") == 0, F.lit(1)).otherwise(F.col("h.line_number") + 1)
-    return rows.withColumns({"e": end, "f": first}).select("path", "h.seq", "h.level", "h.title", _section(F.col("raw"), F.col("f"), F.col("e")).alias("content"), F.col("h.line_number").alias("start_line"), F.col("e").alias("end_line"))
+
+    def one(h: Column) -> Column:
+        whole = h["level"] == 0
+        end = F.when(whole, F.greatest(last, F.lit(1))).otherwise(F.coalesce(h["close"] if include_subsections else h["next"], last))
+        first = F.when(whole, F.lit(1)).otherwise(h["line_number"] + 1)
+        return F.struct(h["seq"].alias("seq"), h["level"].alias("level"), h["title"].alias("title"), _section(F.col("raw"), first, end).alias("content"), h["line_number"].alias("start_line"), end.alias("end_line"))
+
+    placed = found.withColumn(out, F.when(F.size("hs") == 0, none).otherwise(_placed(F.col("hs"))))
+    return placed.withColumn(out, F.transform(out, one)).drop("raw", "hs")
+
+
+def sections(notes: DataFrame, include_subsections: bool = True) -> DataFrame:
+    """(path, seq, level, title, content, start_line, end_line); one of level 0 for a note without headings."""
+    return with_sections(notes, "_sections", include_subsections).select("path", F.explode("_sections").alias("s")).select("path", "s.*")
 
 
 def section(notes: DataFrame, title: str, include_subsections: bool = True) -> DataFrame:

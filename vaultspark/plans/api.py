@@ -10,7 +10,6 @@ from types import UnionType
 from typing import get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import task_limit
 from ..operators import daily, files, outline, tasks
@@ -28,9 +27,14 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def search_tasks(vault: Vault, path: str = "", status: str | None = None, due_on: str | None = None, due_before: str | None = None, due_after: str | None = None, completed_on: str | None = None, completed_before: str | None = None, completed_after: str | None = None, tags: list[str] | None = None, exclude_tags: list[str] | None = None, limit: int | None = None) -> list[dict]:
     filters = {"status": status, "due_on": due_on, "due_before": due_before, "due_after": due_after, "completed_on": completed_on, "completed_before": completed_before, "completed_after": completed_after, "tags": tags, "exclude_tags": exclude_tags}
+    vault.existing(path)
     return _rows(tasks.search(vault.notes(path), task_limit() if limit is None else limit, **filters))
 
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 def extract_tags(vault: Vault, subpath: str = "") -> dict:
     return {"tags": [r["tag"] for r in tag_rows.distinct(tag_rows.extract(vault.notes(subpath))).collect()]}
 
@@ -49,12 +53,19 @@ def search_by_tags(vault: Vault, tags: list[str], match_all: bool = False, subpa
 
 def list_files(vault: Vault, subpath: str = "", max_depth: int | None = None, include_sizes: bool = False) -> dict:
     rows = files.tree_rows(vault.files(subpath), max_depth)
-    return {"visual_tree": files.render(rows, subpath or vault.path.rsplit("/", 1)[-1], include_sizes), **_rows(files.tree_totals(rows))[0]}
+    return {"visual_tree": files.render(rows, subpath or vault.path.rsplit("/", 1)[-1], include_sizes), **_rows(files.tree_totals(rows, max_depth))[0]}
+
+
+def _shown(vault: Vault, file_paths: list[str]) -> DataFrame:
+    """Those of the files that are notes of the vault, without the sections of excluded headings. Only they are read."""
+    asked = [vault.inside(p) for p in file_paths if vault.listed(p)]
+    return outline.without_sections(vault.read(asked), list(vault.config.exclude_headings))
 
 
-def _shown(vault: Vault) -> DataFrame:
-    """The notes without the sections of excluded headings."""
-    return outline.without_sections(vault.notes(), list(vault.config.exclude_headings))
+def _days(vault: Vault, start: str, end: str) -> DataFrame:
+    """The notes that stand where the days' notes may: a year of days at most, some paths for each."""
+    rows = daily.expected(daily.calendar(vault.spark, start, end), vault.config.daily_note_patterns).collect()
+    return _shown(vault, [r["path"] for r in rows])
 
 
 def read_files(vault: Vault, file_paths: list[str], continue_on_error: bool = False) -> dict:
@@ -68,8 +79,8 @@ def read_files(vault: Vault, file_paths: list[str], continue_on_error: bool = Fa
             good.append(p)
         except ValueError as e:
             bad[p] = str(e)
-    found = {r["file_path"]: r for r in _rows(files.read(_shown(vault), good))} if good else {}
-    out = [found.get(p) or {"file_path": p, "file_name": p.rsplit("/", 1)[-1], "success": False, "content": None, "error": bad[p]} for p in file_paths]
+    found = {r["file_path"]: r for r in _rows(files.read(_shown(vault, good), good))} if good else {}
+    out = [found.get(p) or {"file_path": p, "file_name": _name(p), "success": False, "content": None, "error": bad[p]} for p in file_paths]
     failed = [r for r in out if not r["success"]]
     if failed and not continue_on_error:
         raise ValueError(failed[0]["error"])
@@ -81,23 +92,24 @@ def recent_files(vault: Vault, limit: int = 20, since: str | None = None) -> dic
 
 
 def get_daily_note(vault: Vault, date: str) -> dict:
-    return _rows(daily.get(_shown(vault), date, vault.config.daily_note_patterns))[0]
+    return _rows(daily.get(_days(vault, *daily.bounds(date, date)), date, vault.config.daily_note_patterns))[0]
 
 
 def search_daily_notes(vault: Vault, start_date: str | None = None, end_date: str | None = None, sort: str = "desc", limit: int = 100, include_content: bool = False) -> dict:
-    return {"notes": _rows(daily.search(_shown(vault), start_date, end_date, sort, limit, include_content, vault.config.daily_note_patterns))}
+    return {"notes": _rows(daily.search(_days(vault, *daily.bounds(start_date, end_date)), start_date, end_date, sort, limit, include_content, vault.config.daily_note_patterns))}
 
 
 def get_outline(vault: Vault, file_path: str, hierarchical: bool = False) -> dict:
-    vault.inside(file_path)
-    rows = _rows(outline.headings(vault.notes().where(F.col("path") == file_path)).orderBy("seq").select("title", "level", "line_number"))
+    note = vault.read([vault.note_path(file_path)])
+    rows = _rows(outline.headings(note).orderBy("seq").select("title", "level", "line_number"))
     shown = outline.tree(rows) if hierarchical else rows
-    return {"headings": shown, "total_count": len(shown)}
+    return {"file_path": file_path, "file_name": _name(file_path), "headings": shown, "total_count": len(shown)}
 
 
-def get_section(vault: Vault, file_path: str, heading: str, include_subsections: bool = True) -> dict:
-    vault.inside(file_path)
-    return {"sections": _rows(outline.section(vault.notes().where(F.col("path") == file_path), heading, include_subsections).orderBy("seq"))}
+def get_section(vault: Vault, file_path: str, heading: str, include_subsections: bool = False) -> dict:
+    found = outline.section(vault.read([vault.note_path(file_path)]), heading, include_subsections)
+    sections = _rows(found.orderBy("seq").select("title", "level", "content", "start_line", "end_line"))
+    return {"file_path": file_path, "file_name": _name(file_path), "sections": sections, "section_count": len(sections)}
 
 
 def search_headings(vault: Vault, pattern: str, min_level: int = 1, max_level: int = 6, limit: int | None = None) -> dict:

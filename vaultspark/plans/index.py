@@ -36,9 +36,15 @@ def diff(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def overall_hash(hashed: DataFrame) -> DataFrame:
-    """One row (content_hash): of the files' hashes in order of their paths. Paths and hashes alone are gathered."""
+    """One row (content_hash): equal for two vaults if their paths and contents are.
+
+    Of the paths and hashes, in order, of each of 4096 parts of the paths' hashes, and then of the parts'.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("path", "content_hash")))
-    return hashed.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["content_hash"]), ""), 256).alias("content_hash"))
+    joined = F.array_join(F.transform(ordered, lambda x: F.concat(x["path"], F.lit(":"), x["content_hash"])), "\n")
+    parts = hashed.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(F.sha2(joined, 256).alias("h"))
+    every = F.array_sort(F.collect_list(F.struct("part", "h")))  # 4096 at most
+    return parts.agg(F.sha2(F.array_join(F.transform(every, lambda x: x["h"]), ""), 256).alias("content_hash"))
 
 
 @dataclass(frozen=True)
@@ -120,7 +126,9 @@ class Index:
         bm25.corpus_stats(searched).write.parquet(f"{at}/stats")
         hashes(notes).write.parquet(f"{at}/files")
         self.spark.range(1).select(F.lit(self.key).alias("key"), F.lit(has).alias("has_embeddings")).write.parquet(f"{at}/meta")
-        self.spark.range(1).select(F.lit(v).alias("version"), F.lit(time.time()).alias("at")).write.mode("append").parquet(f"{self.base}/current")
+        before = self.version()
+        self.spark.range(1).select(F.lit(v).alias("version"), F.lit(time.time()).alias("at")).coalesce(1).write.mode("append").parquet(f"{self.base}/current")
+        self._tidy({v} if reindex else {v, before})
         return Summary(state, count.get("added", 0), count.get("modified", 0), count.get("removed", 0), written.count(), has, int(1000 * (time.time() - began)))
 
     def _embeds(self, todo: DataFrame, embed: Callable) -> bool:
@@ -144,6 +152,17 @@ class Index:
 
         return todo.withColumn("passage", passage()).mapInPandas(run, whole.schema)
 
+    def _tidy(self, keep: set) -> None:
+        """Remove versions but those kept (the one before is, for who reads it just now), and all but the last names."""
+        fs, at = self._fs(self.base)
+        for x in fs.listStatus(at):
+            if (name := x.getPath().getName()).startswith("v=") and name[2:] not in keep:
+                fs.delete(x.getPath(), True)
+        _, current = self._fs(f"{self.base}/current")
+        parts = sorted((x for x in fs.listStatus(current) if x.getPath().getName().startswith("part-")), key=lambda x: (x.getModificationTime(), x.getPath().getName()))
+        for x in parts[:-2]:
+            fs.delete(x.getPath(), False)
+
     def clear(self) -> None:
         fs, at = self._fs(self.base)
         fs.delete(at, True)

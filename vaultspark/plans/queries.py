@@ -5,6 +5,7 @@ Tables without Markdown get it in the query: the same lines are built on both si
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..functions import dates, text
 from ..operators import bm25, chunker, daily, files, fusion, outline, tags, tasks, vectors
 from ..sources.tables import spread
 from ..sources.vault import from_documents
-from . import index
+from . import index, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,10 +64,27 @@ def bm25_all_scores(spark, sf_dir):
     return _sparse(_table(spark, sf_dir, "documents")).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _persisted(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings in order of their terms, and the corpus' sums, of the documents: written once for a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        at = f"{spark.conf.get('spark.sql.warehouse.dir')}/postings-{uuid.uuid4().hex}"
+        docs = _table(spark, sf_dir, "documents")
+        bm25.postings(docs).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+        bm25.corpus_stats(docs).write.parquet(f"{at}/stats")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _WRITTEN[key] = at
+    return tuple(spark.read.parquet(f"{_WRITTEN[key]}/{x}") for x in ("postings", "stats"))
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25_from_postings(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return bm25.scores_from_index(bm25.postings(docs), bm25.corpus_stats(docs), ASKED).select("doc_id", F.round("score", 6).alias("score"))
+    """From the written index: its scan reads the row groups that hold a term of the query."""
+    return bm25.scores_from_index(*_persisted(spark, sf_dir), ASKED).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(rf"SELECT term, doc_id, count(*) AS tf, dl FROM (SELECT doc_id, CAST(len(tok) AS BIGINT) AS dl, unnest(tok) AS term FROM (SELECT doc_id, {_TOKENS} AS tok FROM documents)) GROUP BY ALL")
@@ -186,10 +204,58 @@ def low_semantic_filter(spark, sf_dir):
     return chunker.low_value(_table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query(None)
+# A note of a part: frontmatter (lines 1 to 4), a heading with a paragraph (5, 6), a heading with two words (7, 8), one with the
+# rest (9, 10), and one too short to be a chunk, as no section follows that it could be merged with (11, 12).
+_LONG = "rtrim(repeat(p_name || ' ', 1 + p_size % 23))"
+_REST = "rtrim(repeat(p_type || ' ', 1 + p_size % 11))"
+_PART_CHUNKS = f"""WITH s AS (SELECT p_partkey, p_name, p_brand, {_LONG} AS a, {_REST} AS b FROM part),
+m AS (SELECT *, a || chr(10) || '## tiny' || chr(10) || 'one two' || chr(10) || '## rest' || chr(10) || b || chr(10) || '## end' || chr(10) || 'too short' AS first,
+ 'one two' || chr(10) || chr(10) || b AS second FROM s),
+t AS (SELECT p_partkey, p_name, p_brand, 1 AS k, p_name AS heading, first AS body FROM m UNION ALL SELECT p_partkey, p_name, p_brand, 2, 'tiny', second FROM m),
+g AS (SELECT *, list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '') AS tok FROM t),
+w AS (SELECT *, unnest(CASE WHEN len(tok) > 40 THEN range(0, greatest(0, len(tok) - 8 - 1) + 1, 32) ELSE [0] END) AS start FROM g),
+c AS (SELECT *, start // 32 AS j, CASE WHEN len(tok) > 40 THEN array_to_string(tok[start + 1:start + 40], ' ') ELSE body END AS text FROM w)"""
+
+
+def _part_notes(spark, sf_dir) -> DataFrame:
+    body = f"""concat('---\ntags: [', p_brand, ', part]\ncreated: 2001-02-03\n---\n# ', p_name, '\n', {_LONG}, '\n## tiny\none two\n## rest\n', {_REST}, '\n## end\ntoo short\n')"""
+    return _table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.expr(body).alias("content"))
+
+
+def _part_chunks(spark, sf_dir) -> DataFrame:
+    return chunker.chunks(_part_notes(spark, sf_dir), chunker.ChunkConfig(max_tokens=40, overlap_tokens=8, min_chunk_size=4, merge_threshold=3))
+
+
+@query(f"""{_PART_CHUNKS} SELECT p_partkey || '.md:' || (CASE k WHEN 1 THEN 5 ELSE 7 END + j) || ':' || CASE k WHEN 1 THEN 'section' ELSE p_name END AS id, p_partkey || '.md' AS source_file,
+CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k, j) - 1 AS INTEGER) AS seq, heading, CASE k WHEN 2 THEN p_name ELSE '' END AS trail, lower(p_brand) || ',part' AS tags, CAST(981158400 AS BIGINT) AS date, text FROM c""")
 def chunk_sections(spark, sf_dir):
-    """The greedy chunker over notes with headings and frontmatter; beyond SQL."""
-    return chunker.chunks(_region_notes(spark, sf_dir), chunker.ChunkConfig(max_tokens=64, overlap_tokens=16, min_chunk_size=4, merge_threshold=3)).drop("tags", "heading_path")
+    """Sections merged, cut in overlapping windows, and left out, with their ids, headings, tags and date."""
+    made = _part_chunks(spark, sf_dir)
+    return made.select("id", "source_file", "seq", "heading", F.array_join("heading_path", ",").alias("trail"), F.lower(F.array_join("tags", ",")).alias("tags"), "date", "text")
+
+
+@query(f"SELECT source_file, count(*) AS chunks, CAST(max(n) AS INTEGER) AS most FROM (SELECT p_partkey || '.md' AS source_file, least(len(tok) - start, 40) AS n FROM ({_PART_CHUNKS} SELECT * FROM c)) GROUP BY source_file")
+def chunk_counts(spark, sf_dir):
+    return _part_chunks(spark, sf_dir).groupBy("source_file").agg(F.count("*").alias("chunks"), F.max(F.size(text.words("text"))).alias("most"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_BUDGET} AS tok FROM documents WHERE text NOT LIKE '%#%'), w AS (SELECT doc_id, tok, unnest(range(0, len(tok), 100)) AS start FROM t)
+SELECT doc_id || '.md' AS source_file, count(*) AS chunks FROM w WHERE len(tok) - start >= 30 GROUP BY doc_id""")
+def chunk_min_size(spark, sf_dir):
+    """Notes without headings: windows that do not overlap, the last of which may be too small to keep."""
+    docs = _table(spark, sf_dir, "documents").where(~F.col("text").contains("#"))
+    made = chunker.chunks(from_documents(docs), chunker.ChunkConfig(max_tokens=100, min_chunk_size=30))
+    return made.groupBy("source_file").agg(F.count("*").alias("chunks"))
+
+
+@query(f"""{_PART_CHUNKS} SELECT p_partkey || '.md' AS source_file, CAST(k AS INTEGER) AS k, j, 'passage: ' || CASE k WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END || chr(10) || text AS passage,
+'tags: ' || p_brand || ' part' || chr(10) || text AS searched, CASE k WHEN 2 THEN p_name ELSE heading END AS shown FROM c""")
+def chunk_texts(spark, sf_dir):
+    """What is embedded, searched and shown of a chunk: its headings or its file's name before it, its tags, its heading."""
+    made = _part_chunks(spark, sf_dir)
+    first = F.when(F.size("heading_path") == 0, 1).otherwise(2)
+    line = F.regexp_extract("id", r"^[^:]*:(\d+):", 1).cast("long")
+    return made.select("source_file", first.alias("k"), (line - F.when(first == 1, 5).otherwise(7)).alias("j"), index.passage().alias("passage"), index.searchable().alias("searched"), search.shown_heading().alias("shown"))
 
 
 # --- tasks ----------------------------------------------------------------------------------
@@ -228,6 +294,16 @@ def task_filter_dates(spark, sf_dir):
     return _shown(tasks.filtered(_tasks(spark, sf_dir), due_before="1996-01-01", due_after="1994-06-30", completed_before="1995-06-01"))
 
 
+@query(f"SELECT * FROM ({_LINE_SQL}) WHERE due_date = '1996-01-02'")
+def task_filter_due_on(spark, sf_dir):
+    return _shown(tasks.filtered(_tasks(spark, sf_dir), due_on="1996-01-02"))
+
+
+@query(f"SELECT * FROM ({_LINE_SQL}) WHERE completed_date = '1995-03-10' AND completed_date > '1995-01-01'")
+def task_filter_completed_on(spark, sf_dir):
+    return _shown(tasks.filtered(_tasks(spark, sf_dir), completed_on="1995-03-10", completed_after="1995-01-01"))
+
+
 @query(f"SELECT * FROM ({_LINE_SQL}) WHERE tags = 'seg3,all'")
 def task_filter_tags(spark, sf_dir):
     return _shown(tasks.filtered(_tasks(spark, sf_dir), tags=["all", "seg3"]))
@@ -304,6 +380,11 @@ def tag_search_and(spark, sf_dir):
     return _tag_rows(tags.search(_tagged(spark, sf_dir), ["Src3", "EN"], match_all=True))
 
 
+@query(f"SELECT * FROM ({_tag_sql('OR')}) ORDER BY path LIMIT 7")
+def tag_search_limit(spark, sf_dir):
+    return _tag_rows(tags.search(_tagged(spark, sf_dir), ["Src3", "EN"]).limit(7))
+
+
 @query("SELECT doc_id, lang || '|' || source AS tags, CAST(946684800 + doc_id % 365 * 86400 AS BIGINT) AS date FROM documents")
 def frontmatter_lines(spark, sf_dir):
     day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
@@ -379,6 +460,11 @@ def exclude_sections(spark, sf_dir):
     return outline.without_sections(_region_notes(spark, sf_dir), ["R#0000003", "r#0000011"]).select("path", F.md5("content").alias("digest"))
 
 
+@query(f"WITH {_CUSTOMERS} SELECT path, level, title, CAST(line_number AS INTEGER) AS line_number FROM h WHERE lower(title) LIKE '%cust%' ORDER BY path, line_number LIMIT 30")
+def heading_search_limit(spark, sf_dir):
+    return outline.search(_region_notes(spark, sf_dir), "CUST", limit=30)
+
+
 # --- files and days -------------------------------------------------------------------------
 
 
@@ -393,6 +479,17 @@ def recent_files(spark, sf_dir):
     return files.recent(last.select(path.alias("path"), path.alias("file_name"), own.alias("content"), "mtime"))
 
 
+@query("""WITH u AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id)
+SELECT 'u' || user_id || '.md' AS file_path, 'u' || user_id || '.md' AS file_name, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, 'mtime' AS date_source FROM u WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events)""")
+def recent_files_since(spark, sf_dir):
+    """All files of the last day of the events."""
+    last = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    day = last.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md"))
+    mtime = F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    return files.recent(last.select(path.alias("path"), path.alias("file_name"), F.lit("text").alias("content"), mtime.alias("mtime")), None, day)
+
+
 @query("""SELECT user_id, CAST(epoch(strptime('2024-03-' || lpad(CAST(1 + user_id % 28 AS VARCHAR), 2, '0') || ' 10:20:30', '%Y-%m-%d %H:%M:%S')) AS BIGINT) - CASE WHEN user_id % 2 = 0 THEN 0 ELSE -(5 * 3600 + 1800) END AS ts
 FROM (SELECT DISTINCT user_id FROM events)""")
 def iso_times(spark, sf_dir):
@@ -418,6 +515,15 @@ def daily_notes_range(spark, sf_dir):
     return daily.search(notes, "1995-01-10", "1995-06-20").select("date", "file_path")
 
 
+@query("""SELECT n > 0 AS found, '1995-03-10' AS date, CASE WHEN n > 0 THEN '1995-03-10.md' END AS file_path, CASE WHEN n > 0 THEN n || ' orders' END AS content FROM (SELECT count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-03-10')""")
+def daily_note(spark, sf_dir):
+    """One day's note, among those of all days."""
+    days = _table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    path = dates.note_path("YYYY-MM-DD.md", F.col("day"))
+    notes = days.select(path.alias("path"), path.alias("file_name"), F.concat(F.col("n").cast("string"), F.lit(" orders")).alias("content"))
+    return daily.get(notes, "1995-03-10")
+
+
 _TREE = r"""p AS (SELECT regexp_replace(regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*$', ''), '/+$', '') AS path, strlen(html) AS size FROM pages),
 s AS (SELECT string_split(path, '/') AS parts, max(size) AS size FROM p GROUP BY path),
 e AS (SELECT parts, size, unnest(range(1, len(parts) + 1)) AS depth FROM s WHERE len(list_filter(parts, lambda x: starts_with(x, '.'))) = 0),
@@ -439,6 +545,36 @@ def file_tree_totals(spark, sf_dir):
     return files.tree_totals(_tree(spark, sf_dir))
 
 
+# Folders of orders' years and months, most of them without a file: those of the first days have one.
+_FOLDERS = """f AS (SELECT DISTINCT strftime(o_orderdate, '%Y/%m') AS path FROM orders), y AS (SELECT DISTINCT path[1:4] AS path FROM f),
+d AS (SELECT path || '/first.md' AS path, count(*) AS size FROM (SELECT strftime(o_orderdate, '%Y/%m') AS path FROM orders WHERE day(o_orderdate) = 1) GROUP BY 1),
+e AS (SELECT path, 1 AS depth, TRUE AS is_dir, NULL AS size_bytes FROM y UNION ALL SELECT path, 2, TRUE, NULL FROM f UNION ALL SELECT path, 3, FALSE, size FROM d)"""
+
+
+def _folders(spark, sf_dir) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy/MM").alias("path"), F.dayofmonth("o_orderdate").alias("day"))
+    empty = o.select("path").distinct().select("path", F.lit(None).cast("long").alias("size"), F.lit(True).alias("is_dir"))
+    return empty.unionByName(o.where("day = 1").groupBy(F.concat("path", F.lit("/first.md")).alias("path")).agg(F.count("*").alias("size")).withColumn("is_dir", F.lit(False)))
+
+
+@query(f"WITH {_FOLDERS} SELECT path, CAST(depth AS INTEGER) AS depth, is_dir, CAST(size_bytes AS BIGINT) AS size_bytes FROM e")
+def file_tree_folders(spark, sf_dir):
+    """Folders that hold nothing have their rows too."""
+    return files.tree_rows(_folders(spark, sf_dir)).select("path", "depth", "is_dir", "size_bytes")
+
+
+@query(f"WITH {_FOLDERS} SELECT CAST(0 AS BIGINT) AS total_files, count(*) FILTER (WHERE depth = 1) + 1 AS total_dirs FROM e WHERE depth <= 2")
+def file_tree_depth(spark, sf_dir):
+    """Two levels: the folders of the second are shown, and not counted."""
+    return files.tree_totals(files.tree_rows(_folders(spark, sf_dir), 2), 2)
+
+
+@query(f"WITH {_TREE} SELECT path, array_to_string(list_transform(range(1, depth + 1), lambda i: CASE WHEN i < depth OR is_dir THEN '0' ELSE '1' END || string_split(path, '/')[i]), chr(1)) AS place FROM g")
+def file_tree_order(spark, sf_dir):
+    """What orders a tree: in each folder the folders first, then by name."""
+    return _tree(spark, sf_dir).select("path", files.sort_key(F.col("is_dir"), F.col("path")).alias("place"))
+
+
 @query("""SELECT page_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576) ELSE printf('%.1f GB', s / 1073741824) END AS size
 FROM (SELECT page_id, strlen(html) * (1 + page_id % 7) * (CASE WHEN page_id % 5 = 0 THEN 100003 ELSE 1 END) // (CASE WHEN page_id % 11 = 0 THEN 500 ELSE 1 END) AS s FROM pages)""")
 def format_size(spark, sf_dir):
@@ -467,6 +603,50 @@ def staleness_diff(spark, sf_dir):
     return index.diff(now, before)
 
 
-@query("SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id || '.md')) AS content_hash FROM documents")
+@query("""SELECT sha256(string_agg(h, '' ORDER BY part)) AS content_hash FROM (SELECT sha256(doc_id || '.md')[1:3] AS part, sha256(string_agg(doc_id || '.md:' || sha256(text), chr(10) ORDER BY doc_id || '.md')) AS h FROM documents GROUP BY part)""")
 def overall_content_hash(spark, sf_dir):
     return index.overall_hash(index.hashes(from_documents(_table(spark, sf_dir, "documents"))))
+
+
+@query("""WITH n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src1'), o AS (SELECT doc_id, sha256(CASE WHEN source = 'src2' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'es')
+SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM n FULL JOIN o ON n.doc_id = o.doc_id WHERE n.h IS DISTINCT FROM o.h) GROUP BY change""")
+def index_change_counts(spark, sf_dir):
+    """The counters of an index run."""
+    return staleness_diff(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"))
+
+
+_KEPT = rf"""k AS (SELECT doc_id, {_BUDGET} AS tok FROM documents WHERE text NOT LIKE '%#%'), c AS (SELECT doc_id, start // 100 AS seq, array_to_string(tok[start + 1:start + 100], ' ') AS text FROM (SELECT *, unnest(range(0, len(tok), 100)) AS start FROM k) WHERE len(tok) - start >= 30),
+d AS (SELECT doc_id, seq, {_TOKENS} AS tok FROM c),
+s AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM d),
+q AS (SELECT unnest(['tion', 'the', 'ment', 'tion']) AS term),
+p AS (SELECT doc_id, seq, dl, term, count(*) AS tf FROM (SELECT doc_id, seq, len(tok) AS dl, unnest(tok) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+b AS (SELECT doc_id, seq, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY doc_id, seq)"""
+
+
+def _built(spark, sf_dir: str) -> index.Index:
+    """An index of the documents, built twice: first with other texts in one source, then brought up to date."""
+    key = f"{spark.sparkContext.applicationId} index", sf_dir
+    at = _WRITTEN.setdefault(key, f"{spark.conf.get('spark.sql.warehouse.dir')}/index-{uuid.uuid4().hex}")
+    own = index.Index(spark, at, chunker.ChunkConfig(max_tokens=100, min_chunk_size=30))
+    if own.version() is None:
+        docs = _table(spark, sf_dir, "documents").where(~F.col("text").contains("#"))
+        own.build(from_documents(docs.withColumn("text", F.when(F.col("source") == "src2", F.concat("text", F.lit(" the more"))).otherwise(F.col("text")))))
+        own.build(from_documents(docs))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
+
+
+@query(f"WITH {_KEPT} SELECT doc_id || '.md' AS source_file, CAST(seq AS INTEGER) AS seq, round(score, 6) AS score FROM b")
+def index_scores(spark, sf_dir):
+    """Every chunk's score from an index that was built and then brought up to date."""
+    own = _built(spark, sf_dir)
+    return bm25.scores_from_index(own.table("postings"), own.table("stats"), ASKED, "chunk").select("chunk.*", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 'sparse' AS mode_used, CAST(7 AS BIGINT) AS results")
+def search_degrades(spark, sf_dir):
+    """A hybrid search of an index without vectors is a sparse one."""
+    found = search.search(_built(spark, sf_dir), ASKED, search.Mode.HYBRID, limit=7)
+    return found.results.agg(F.count("*").alias("results")).select(F.lit(found.mode_used.value).alias("mode_used"), "results")

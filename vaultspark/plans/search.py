@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
@@ -21,6 +21,11 @@ class Mode(Enum):
     HYBRID = "hybrid"
 
 
+def shown_heading() -> Column:
+    """The headings that a chunk stands under, else its own."""
+    return F.when(F.size("heading_path") > 0, F.array_join("heading_path", " > ")).otherwise(F.col("heading"))
+
+
 @dataclass(frozen=True)
 class Outcome:
     mode_used: Mode
@@ -70,5 +75,4 @@ def search(index: Index, query: str, mode: Mode = Mode.HYBRID, limit: int = 50,
         fused = fusion.recency_boost(fusion.rrf(lists, "chunk", k), dates, "chunk", recency)
     best = fused.orderBy(F.desc("score"), "chunk").limit(limit)
     found = best.join(all_chunks, "chunk").where(tagged)
-    shown = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " > ")).otherwise(F.col("heading"))
-    return Outcome(mode, found.orderBy(F.desc("score"), "chunk").select("id", "source_file", "score", shown.alias("heading"), "tags", "date", preview("text").alias("preview")))
+    return Outcome(mode, found.orderBy(F.desc("score"), "chunk").select("id", "source_file", "score", shown_heading().alias("heading"), "tags", "date", preview("text").alias("preview")))

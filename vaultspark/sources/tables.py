@@ -12,4 +12,4 @@ def spread(df: DataFrame) -> DataFrame:
     is cheap; a large one has partitions enough and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,15 +28,22 @@ def excluded(path: str, config: Config) -> bool:
     return any(p in path or fnmatch.fnmatchcase(path, p.replace("**/", "*").replace("**", "*")) or fnmatch.fnmatchcase(path, p) for p in config.exclude_paths)
 
 
-def walk(base: str, config: Config, markdown: bool = True) -> Iterator[str]:
-    """Paths below `base` in order, excluded files and folders pruned; only `.md` files if `markdown`."""
+def walk(base: str, config: Config, markdown: bool = True, folders: bool = False) -> Iterator[str]:
+    """Paths below `base` in order, excluded files and folders pruned; only `.md` files if `markdown`; folders too if asked.
+
+    A `base` that is a file stands for itself, and is not held against the exclusions.
+    """
+    if os.path.isfile(base) and (not markdown or base.endswith(".md")):
+        yield base
     if not os.path.isdir(base):
         return
     for entry in sorted(os.scandir(base), key=lambda e: e.name):
         if excluded(entry.path, config):
             continue
         if entry.is_dir():
-            yield from walk(entry.path, config, markdown)
+            if folders:
+                yield entry.path
+            yield from walk(entry.path, config, markdown, folders)
         elif not markdown or entry.name.endswith(".md"):
             yield entry.path
 
@@ -58,16 +65,43 @@ class Vault:
             raise ValueError(f"outside the vault: {subpath}")
         return real
 
+    def existing(self, subpath: str) -> str:
+        """As `inside`; a ValueError too if nothing is there."""
+        real = self.inside(subpath)
+        if not os.path.exists(real):
+            raise ValueError(f"Path does not exist: {subpath}")
+        return real
+
+    def note_path(self, file_path: str) -> str:
+        """The real path of one note; a ValueError if it is missing, outside the vault or no `.md` file."""
+        real = self.inside(file_path)
+        if not os.path.exists(real):
+            raise ValueError(f"File not found: {file_path}")
+        if not real.endswith(".md"):
+            raise ValueError(f"Invalid file type '{file_path}': only .md files allowed")
+        return real
+
+    def listed(self, file_path: str) -> bool:
+        """Whether `notes` has the file: an `.md` file that no exclusion covers, itself or a folder above."""
+        real = self.inside(file_path)
+        steps = os.path.relpath(real, self.path).split(os.sep)
+        above = [os.path.join(self.path, *steps[: i + 1]) for i in range(len(steps))]
+        return os.path.isfile(real) and real.endswith(".md") and not any(excluded(p, self.config) for p in above)
+
     def files(self, subpath: str = "") -> DataFrame:
-        """(path, size) of every file, of any kind."""
+        """(path, size, is_dir) of every file, of any kind, and every folder (its size is null)."""
         base = self.inside(subpath)
-        rows = [(os.path.relpath(p, base), os.path.getsize(p)) for p in walk(base, self.config, markdown=False)]
-        return self.spark.createDataFrame(rows, "path string, size long")
+        every = [(p, os.path.isdir(p)) for p in walk(base, self.config, markdown=False, folders=True)]
+        rows = [(os.path.relpath(p, base), None if d else os.path.getsize(p), d) for p, d in every if p != base]
+        return self.spark.createDataFrame(rows, "path string, size long, is_dir boolean")
 
     def notes(self, subpath: str = "") -> DataFrame:
-        """NOTES of the vault; files that cannot be read or are no UTF-8 are left out."""
+        """NOTES of the vault, or of the one file that `subpath` names; files that cannot be read or are no UTF-8 are left out."""
+        return self.read(self.paths(subpath))
+
+    def read(self, found: list[str]) -> DataFrame:
+        """NOTES of the files of these real paths: nothing else is read."""
         ship(self.spark)
-        found = self.paths(subpath)
         base = self.path
         listed = self.spark.createDataFrame([(p,) for p in found], "p string").repartition(max(1, min(len(found), self.spark.sparkContext.defaultParallelism * 4)))
 
