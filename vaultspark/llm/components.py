@@ -12,8 +12,8 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges(a long, b long)`; root is the smallest node reachable.
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+    """(node, root) for every node of `edges(a long, b long)`, and its table; root is the smallest node reachable.
 
     Nodes with null, and edges from a node to itself, take no part. Every round is a few
     aggregations and equi-joins on the edge table, whose size never grows; each round's edges are
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), path
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes, tune
+from .common import fresh, materialize, release, skew_join, slices, table, text_bytes, tune
 from .components import connected_components
 
 SEED = 42
@@ -56,10 +56,11 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            whole = data.tobytes()
-            fps = np.array([fingerprint_words(whole[a:b].lower().split(), shingle) for a, b in itertools.pairwise(offsets.tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for part in slices(batch, 1):
+                data, offsets = text_bytes(part.column(1))
+                whole = data.tobytes()
+                fps = np.array([fingerprint_words(whole[a:b].lower().split(), shingle) for a, b in itertools.pairwise(offsets.tolist())], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -115,12 +116,29 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def finer_keys(fps: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the fingerprints, and the fingerprints, for each choice of three groups of `width` bits that are left out.
+
+    Three differing bits stand in three groups at most, so any pair to be linked meets in a key; and
+    no more than 2 ** (3 * width) fingerprints share one.
+    """
+    for k, removed in enumerate(itertools.combinations(range(64 // width), 3)):
+        rest = fps
+        for g in reversed(removed):
+            at = np.uint64(g * width)
+            low = rest & np.uint64((1 << g * width) - 1)
+            rest = low | (rest >> at >> np.uint64(width) << at)
+        yield rest.astype(np.int64) | k << (64 - 3 * width), fps
+
+
 # --- links within one key -------------------------------------------------------------------
 
-_DENSE = 20_000
+#: Fingerprints of one key that are compared with each other; those of a fuller key are dealt anew by finer
+#: keys, which leave out bytes and at last nibbles. Of the latter no key has more than 4096.
+RUN = 4096
 
 
-def _dense_links(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links among one key's fingerprints: each is visited once."""
     out, rest = [], fps.copy()
     while len(rest) > 1:
@@ -136,41 +154,14 @@ def _dense_links(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _ball_links(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same reach in time proportional to the fingerprints, for very large keys.
-
-    Each fingerprint names all words within two bits of it. Two that are at most three bits apart
-    share a word within one bit of one of them, and whoever shares a word that is within one bit of
-    a first and two bits of a second is at most three bits from it.
-    """
-    flips = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
-    flips = np.array(flips, np.uint64)
-    far = np.repeat([0, 1, 2], [1, 64, 2016])
-    out, passes = [], max(1, len(fps) * len(flips) >> 24)
-    for p in range(passes):
-        word, who, dist = [], [], []
-        for f, d in zip(flips, far):
-            w = fps ^ f
-            mine = np.flatnonzero((w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == np.uint64(p))
-            word.append(w[mine])
-            who.append(mine)
-            dist.append(np.full(len(mine), d, np.int8))
-        word, who, dist = map(np.concatenate, (word, who, dist))
-        order = np.lexsort((dist, word))
-        word, who, dist = word[order], who[order], dist[order]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        head = np.repeat(first, np.diff(np.r_[first, len(word)]))
-        good = (dist[head] <= 1) & (who != who[head])
-        pairs = np.unique(np.stack([who[head][good], who[good]], axis=1), axis=0)
-        out.append((fps[pairs[:, 0]], fps[pairs[:, 1]]))
-    return out
+_NONE = np.zeros(0, np.int64)
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within each run of equal keys; the fingerprints of a run are distinct."""
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+def _run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Links within each run of equal keys, and the fingerprints of runs longer than `most`. Those of a run are distinct."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else _NONE
     size = np.diff(np.r_[first, len(keys)])
-    out = []
+    out, full = [], [np.zeros(0, np.uint64)]
     for n in range(2, 9):  # small runs, all of one size at once
         at = first[size == n]
         for i, j in itertools.combinations(range(n), 2) if len(at) else ():
@@ -178,63 +169,102 @@ def _run_links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.n
             good = np.bitwise_count(a ^ b) <= DISTANCE
             out.append((a[good], b[good]))
     for at, n in zip(first[size > 8], size[size > 8]):
-        own = fps[at : at + n]
-        out += _dense_links(own) if n <= _DENSE else _ball_links(own)
-    return out
+        if n > most:
+            full.append(fps[at : at + n])
+        else:
+            out += _forest(fps[at : at + n])
+    return out, np.concatenate(full)
 
 
-def links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(a, b): links among the distinct fingerprints `fp` that join all pairs at three or fewer bits.
+def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within the keys of rows (key, fp) that come sorted by key; rows (fp, null) for those of full keys.
+
+    Holds `most` rows of a key and a batch at most: the rest of a full key passes through.
+    """
+
+    def made(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs, full = _run_links(keys, fps.view(np.uint64), most)
+        yield from passed(full.view(np.int64))
+        if pairs:
+            a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def passed(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(fps):
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64())], ["a", "b"])
+
+    keys, fps, full = [_NONE], [_NONE], None
+    for batch in batches:
+        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if full is not None:
+            n = int(np.searchsorted(k, full, "right"))
+            yield from passed(f[:n])
+            k, f, full = k[n:], f[n:], full if n == len(k) else None
+        keys.append(k)
+        fps.append(f)
+        if sum(map(len, keys)) >= 1 << 16:
+            k, f = np.concatenate(keys), np.concatenate(fps)
+            cut = int(np.searchsorted(k, k[-1]))
+            yield from made(k[:cut], f[:cut])
+            keys, fps = [k[cut:]], [f[cut:]]
+            if len(keys[0]) > most:
+                yield from passed(fps[0])
+                keys, fps, full = [_NONE], [_NONE], k[-1]
+    yield from made(np.concatenate(keys), np.concatenate(fps))
+
+
+def _dealt(distinct: DataFrame, keyed, n: int, most: int) -> DataFrame:
+    rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: _linked(batches, most), "a long, b long")
+
+
+def links(distinct: DataFrame, partitions: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(a, b): links among the distinct fingerprints `fp` that join all pairs at three or fewer bits; and its tables.
 
     Not every such pair is listed where many share a key: a spanning forest of them is, so the
     components are those of all pairs and the rows stay in proportion to the fingerprints.
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fuzzy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             keys, rows = fuzzy_keys(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "fp"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = [], []
+    def finer(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys, fps in finer_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), width):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64))], ["key", "fp"])
 
-        def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
-            k, f = np.concatenate(keys), np.concatenate(fps)
-            cut = len(k) if upto is None else int(np.searchsorted(k, upto))
-            keys[:], fps[:] = [k[cut:]], [f[cut:]]
-            pairs = _run_links(k[:cut], f[:cut].view(np.uint64)) if cut else []
-            if pairs:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        held = 0
-        for batch in batches:
-            if batch.num_rows:
-                keys.append(batch.column(0).to_numpy())
-                fps.append(batch.column(1).to_numpy())
-                held += batch.num_rows
-                if held >= 1 << 16 and keys[0][0] != keys[-1][-1]:
-                    yield from flush(keys[-1][-1])
-                    held = len(keys[0])
-        if keys:
-            yield from flush(None)
-
-    spark = distinct.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(linked, "a long, b long")
+        return run
+
+    n = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, path = materialize(_dealt(distinct, fuzzy, n, RUN).distinct(), "links")
+    out, paths = found.where("b is not null"), [path]
+    for width in (8, 4):
+        full = found.where("b is null").select(F.col("a").alias("fp"))
+        if full.isEmpty():
+            break
+        found, path = materialize(_dealt(full, finer(width), n, RUN if width > 4 else 1 << 12).distinct(), "links")
+        out = out.unionByName(found.where("b is not null"))
+        paths.append(path)
+    return out, paths
 
 
 # --- the operator ---------------------------------------------------------------------------
 
 
-def _rooted(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fp, least): each fingerprint and its smallest doc_id; (fp, root): the component of those that have links."""
-    distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found, _ = materialize(links(distinct).distinct(), "links")
-    return distinct, connected_components(found).withColumnsRenamed({"node": "fp"})
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, root, least): each fingerprint, one of its component, and the smallest doc_id that has it."""
+    spark = fps.sparkSession
+    distinct, at_distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found, at_links = links(distinct)
+    roots, at_roots = connected_components(found)
+    rooted, _ = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    release(spark, at_distinct, at_roots, *at_links)
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -246,15 +276,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
     null if no document of the component has an id). Other columns of `docs` are left out.
     """
     fps, _ = materialize(fingerprints(docs, text, shingle), "fingerprints")
-    distinct, roots = _rooted(fps)
-    rooted = distinct.join(roots, "fp")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    joined = rooted.join(least, "root").select("fp", "component")
-    whole = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = _rooted(fps)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    component, _ = materialize(skew_join(rooted, least, "root").select("fp", "component_id"), "components")
+    return skew_join(fps, component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -262,12 +291,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: the row of its smallest doc_id; a row without id is kept.
 
     Where that id is repeated in the component, one of its rows stays (that of the smallest text
-    hash); where it is repeated in another component, each component keeps its own row.
+    hash); where it is repeated in another component, each component keeps its own row. Null and
+    wordless texts are near-duplicates of each other. Columns stay as they are, whatever their names;
+    an empty table stays empty.
     """
-    names = docs.columns
+    names, of_text = docs.columns, fresh(docs, "text_hash")
     key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")))
-    distinct, roots = _rooted(fingerprints(docs.select(key.alias("doc_id"), "text")))
-    least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    keep = least.where("least is not null").select(F.col("least.id").alias("doc_id"), F.col("least.text_hash").alias("_text_hash"))
-    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(keep, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    fps, path = materialize(fingerprints(docs.select(key.alias("doc_id"), "text")), "fingerprints")
+    least = _rooted(fps).groupBy("root").agg(F.min("least").alias("least"))
+    keep = least.where("least is not null").select(F.col("least.id").alias("doc_id"), F.col("least.text_hash").alias(of_text))
+    release(docs.sparkSession, path)
+    kept = docs.withColumn(of_text, F.xxhash64("text")).join(keep, ["doc_id", of_text], "left_semi").dropDuplicates(["doc_id", of_text])
     return kept.select(names).unionByName(docs.where("doc_id is null").select(names))
