@@ -2,11 +2,11 @@
 
 Each block of candidates keeps, for every dimension, its vectors in order of that dimension's
 value: a sorted list that a query reads from the top where its weight is positive and from the
-bottom where it is negative. The lists are read in step. A candidate's lower bound is what was read
-of it plus the least that its other dimensions can hold, its upper bound the same with the values
-now at the lists' heads; reading stops when few candidates' upper bounds reach the k-th lower
-bound, and those candidates' scores are then resolved. The queries are read in blocks of bounded
-size; a block's winners, k to a query, meet in a last top-k.
+bottom where it is negative. The lists are read in step, each stage some way further. A candidate's
+lower bound is what was read of it plus the least that its other dimensions can hold, its upper bound
+the same with the values now at the lists' heads. A query stops reading when few candidates' upper
+bounds reach its k-th lower bound, and those candidates' scores are then resolved. Queries and
+candidates meet block by block, and a block's winners, k to a query, in a last top-k.
 """
 
 from __future__ import annotations
@@ -15,18 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune
 
-#: Bounds: candidates of one block in a worker, queries of one broadcast.
+#: Bounds: candidates and queries of one block.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
-
-
 #: Shares of the lists that are read before the bounds are looked at again.
-STAGES = (0.4, 0.6, 1.0)
+STAGES = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
+#: Candidates of a query, as a multiple of k, few enough to resolve.
+FEW = 8
 
 
 class Lists:
@@ -35,57 +36,60 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        by_value = np.argsort(self.vectors, axis=0, kind="stable")
-        self.value = np.take_along_axis(self.vectors, by_value, axis=0)
-        self.place = np.empty_like(by_value)  # of each candidate in each list, from the smallest value
-        np.put_along_axis(self.place, by_value, np.broadcast_to(np.arange(len(ids))[:, None], by_value.shape), axis=0)
+        self.by_value = np.argsort(self.vectors, axis=0, kind="stable")
+        self.value = np.take_along_axis(self.vectors, self.by_value, axis=0)
 
-    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, seen: np.ndarray, upto: int, depth: int, top: bool) -> None:
+        """Marks in `seen` the entries from `upto` to `depth` of each list, from its top or its bottom."""
+        n = len(self.ids)
+        rows = self.by_value[n - depth : n - upto] if top else self.by_value[upto:depth]
+        np.put_along_axis(seen, rows, True, axis=0)
+
+    def bounds(self, depth: int, seen: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds [query, candidate] once `depth` entries of each list are read.
 
-        `up` and `down` are the queries' positive and negative weights. What was read of a candidate
-        counts as it is; of the rest the lists' heads are the most, and their last entries the least.
+        What was read of a candidate counts as it is; of the rest the lists' heads are the most, and
+        their last entries the least.
         """
-        n = len(self.ids)
-        if depth >= n:
-            exact = (up + down) @ self.vectors.astype(kind).T
-            return exact, exact
-        high, low = self.value[n - 1 - depth], self.value[depth]  # the heads, read from either end
-        from_top, from_bottom = self.place >= n - depth, self.place < depth
-        x = self.vectors
-        weights = np.concatenate([up, down], axis=1)
-        most = np.concatenate([np.where(from_top, x, high), np.where(from_bottom, x, low)], axis=1).astype(kind)
-        least = np.concatenate([np.where(from_top, x, self.value[0]), np.where(from_bottom, x, self.value[-1])], axis=1).astype(kind)
+        n, x = len(self.ids), self.vectors
+        high, low = self.value[n - 1 - min(depth, n - 1)], self.value[min(depth, n - 1)]  # the heads, read from either end
+        most = np.concatenate([np.where(seen[0], x, high), np.where(seen[1], x, low)], axis=1).astype(weights.dtype)
+        least = np.concatenate([np.where(seen[0], x, self.value[0]), np.where(seen[1], x, self.value[-1])], axis=1).astype(weights.dtype)
         return weights @ least.T, weights @ most.T
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query rows, ids and scores of the k best candidates of each query but its own; ties to the smaller id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query rows, ids, scores, and the share of the lists read, of the k best candidates of each query but its own.
+
+        Ties go to the smaller id.
+        """
         n, width = self.vectors.shape
         largest = width * float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0))
         kind = np.float32 if largest < 1 << 24 else np.float64  # sums of whole numbers, exact
-        active = np.arange(len(queries))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        active, upto = np.arange(len(queries)), 0
+        seen = np.zeros((n, width), bool), np.zeros((n, width), bool)
         for share in STAGES:
+            if not len(active):
+                break
             depth = min(n, int(np.ceil(share * n)))
+            for side, top in zip(seen, (True, False)):
+                self.read(side, upto, depth, top)
+            upto = depth
             q = queries[active]
-            least, most = self.bounds(depth, np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind), kind)
+            least, most = self.bounds(depth, seen, np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).astype(kind))
             first, last = np.searchsorted(self.ids, own[active], "left"), np.searchsorted(self.ids, own[active], "right")
             for j in np.flatnonzero(last > first):
                 least[j, first[j] : last[j]] = -np.inf
                 most[j, first[j] : last[j]] = -np.inf
             bound = np.partition(least, n - k, axis=1)[:, n - k] if n >= k else np.full(len(active), -np.inf)
             rivals = most >= np.maximum(bound, np.finfo(kind).min)[:, None]
-            settled = (np.count_nonzero(rivals, axis=1) <= max(64, 4 * k)) | (depth == n)
+            settled = (np.count_nonzero(rivals, axis=1) <= FEW * k) | (depth == n)
             for j in np.flatnonzero(settled):
                 who = np.flatnonzero(rivals[j])
                 score = most[j, who].astype(np.int64) if depth == n else self.vectors[who] @ queries[active[j]]
                 best = np.argsort(-score, kind="stable")[:k]
-                out.append((np.full(len(best), active[j]), self.ids[who[best]], score[best]))
+                out.append((np.full(len(best), active[j]), self.ids[who[best]], score[best], np.full(len(best), depth / n)))
             active = active[~settled]
-            if not len(active):
-                break
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -110,57 +114,74 @@ def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
     return out
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, ids, vectors, width): rows (vec_id, v) in blocks of at most BLOCK_ROWS, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        made = TaskContext.get().partitionId() << 32
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            own = _matrix(t.column(1).combine_chunks())
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (t.column(0).to_numpy(), own)]
+            return pa.RecordBatch.from_arrays([pa.array([made]), *packed, pa.array([own.shape[1]])], ["block", "ids", "vectors", "width"])
+
+        for batch in batches:
+            while batch.num_rows:
+                take = min(batch.num_rows, BLOCK_ROWS - sum(b.num_rows for b in held))
+                held.append(batch.slice(0, take))
+                batch = batch.slice(take)
+                if sum(b.num_rows for b in held) == BLOCK_ROWS:
+                    yield done()
+                    held, made = [], made + 1
+        if held:
+            yield done()
+
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "block long, ids binary, vectors binary, width long")
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest integer inner products of each query.
+    """(query_id, rank, vec_id, score, depth): the k largest integer inner products of each query.
 
     Both tables are (vec_id, v array<long>). A candidate with the query's vec_id is its own and
     left out; ties go to the smaller vec_id; dimensions that a vector lacks count as zero; repeated
-    query rows count once, repeated candidate rows each. Empty tables give no rows.
+    query rows count once, repeated candidate rows each. Empty tables give no rows. `depth` is the
+    share of its lists that was read in the block where the candidate stands. The queries are a table
+    of blocks too; every block of candidates is sent to each of them, dealt over as many tasks as the
+    session has cores, and nothing but the number of queries comes to the driver.
     """
     spark = candidates.sparkSession
     tune(spark)
-    asked = queries.distinct()
-    blocks = int(asked.count() // QUERY_ROWS) + 1
-    schema = "query_id long, vec_id long, score long"
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        weights = _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.int64())))
-        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), weights))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids: list[pa.Array] = []
-            vectors: list[pa.Array] = []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                joined = pa.concat_arrays(vectors)
-                block = Lists(pa.concat_arrays(ids).to_numpy(), _matrix(joined))
-                width = block.vectors.shape[1]
-                owners, weights = held.value
-                if len(owners):
-                    asked = np.zeros((len(owners), width), np.int64)
-                    asked[:, : weights.shape[1]] = weights[:, :width]
-                    row, best, score = block.top(asked, owners, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(owners[row]), pa.array(best), pa.array(score)], ["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                ids.append(batch.column(0))
-                vectors.append(batch.column(1))
-                if sum(map(len, ids)) >= BLOCK_ROWS:
-                    yield from flush()
-                    ids, vectors = [], []
-            if ids:
-                yield from flush()
-
-        part = candidates.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+    each = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "v").distinct()
+    blocks, salts = int(each.count() // QUERY_ROWS) + 1, max(1, spark.sparkContext.defaultParallelism)
+    asked = each.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("asked")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sent = _blocks(candidates).withColumns({"asked": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "salt": F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, own = (np.frombuffer(row.column(c)[0].as_py(), np.int64) for c in ("ids", "vectors"))
+                own = own.reshape(len(ids), row.column("width")[0].as_py())
+                asking = row.column("queries").flatten()
+                owners, weights = asking.field("vec_id").to_numpy(), _matrix(asking.field("v"))
+                q = np.zeros((len(owners), own.shape[1]), np.int64)
+                q[:, : weights.shape[1]] = weights[:, : own.shape[1]]
+                where, best, score, depth = Lists(ids, own).top(q, owners, k)
+                yield pa.RecordBatch.from_arrays([pa.array(owners[where]), pa.array(best), pa.array(score), pa.array(depth)], ["query_id", "vec_id", "score", "depth"])
+
+    met = sent.join(asked, ["asked", "salt"]).select("ids", "vectors", "width", "queries")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long, depth double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """The five best of every query."""
     vectors = quantized(table(spark, sf_dir, "embeddings"))
-    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5).drop("depth")
 
 
 OP6_SQL = """
