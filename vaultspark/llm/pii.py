@@ -2,14 +2,16 @@
 
 The field labels tokens (runs of letters, runs of digits, single signs) with O or the begin or
 inside of a kind. Its features are word shapes of the token and its neighbours. It is trained on a
-small labelled table of lines and decoded by Viterbi over padded batches in numpy. A token far from
-any digit, at-sign or spelled-out at is O by the model's structure, so only windows around those are decoded.
+small labelled table of lines. Every token of every text is scored, in numpy batches; Viterbi then
+decodes the stretches that a bound leaves open, which gives the labels that decoding all would give.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import slices, table, tune
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -79,54 +81,149 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the conditional random field -----------------------------------------------------------
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s*[aA][tT]\s*[\])}]|\b[aA][tT]\b(?=\W{1,3}(?:[\w-]+\W{1,3}){1,5}?[dD][oO][tT]\b)")
-#: Code points on either side of a digit, at-sign or spelled-out at that the field looks at.
-WINDOW = 60
+_SPACE, _LETTERS, _DIGITS, _SIGN = range(4)
+#: Words whose shape is the word itself.
+WORDS = ("at", "dot", "com", "org", "net", "tel", "phone", "call", "mail", "card", "version", "v")
+#: Codes of shapes: 1 to 17 a run of so many digits, then small letters, a capital and more, capitals, the words, signs.
+_SMALL, _CAPITAL, _CAPITALS, _WORD, _OTHER = 18, 19, 20, 21, 64
+_LONGEST = max(map(len, WORDS))
 
 
-def tokenize(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: its class, whether it is a capital, whether a small letter."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    kind = np.full(len(every), _SIGN, np.uint8)
+    for pattern, k in ((r"\s+", _SPACE), (r"[^\W\d_]+", _LETTERS), (r"\d+", _DIGITS)):
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    return kind, np.array([c.isupper() for c in every]), np.array([c.islower() for c in every])
 
 
-def shape(token: str) -> str:
-    """Short words that matter as they are, digits by their number, letters by case, signs as themselves."""
-    if token[0].isdigit():
-        return f"d{min(len(token), 17)}"
-    if token[0].isalpha():
-        low = token.lower()
-        if low in ("at", "dot", "com", "org", "net", "tel", "phone", "call", "mail", "card", "version", "v"):
-            return low
-        return "X" if token.isupper() else "Xx" if token[0].isupper() else "x"
-    return token
+@dataclass
+class Tokens:
+    """Tokens of many texts: places in their text, its number, shape, and whether the token before touches."""
+
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    shape: np.ndarray
+    glued: np.ndarray
+
+
+def tokenize(texts: list[str]) -> Tokens:
+    kind, capital, small = _tables()
+    joined = "\n".join(texts)
+    at = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    c = kind[at]
+    run = (c == _LETTERS) | (c == _DIGITS)
+    change = np.r_[True, c[1:] != c[:-1], True] if len(c) else np.zeros(1, bool)
+    start = np.flatnonzero((c == _SIGN) | (run & change[:-1]))
+    end = np.flatnonzero((c == _SIGN) | (run & change[1:])) + 1
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    row = np.searchsorted(first, start, "right") - 1
+    ups, lows = (np.cumsum(np.r_[0, x[at]]) for x in (capital, small))
+    own, length = c[start], end - start
+    has_low, has_up = lows[end] > lows[start], ups[end] > ups[start]
+    shape = np.where(has_up & ~has_low, _CAPITALS, np.where(capital[at[start]], _CAPITAL, _SMALL)).astype(np.int64)
+    shape = np.where(own == _DIGITS, np.minimum(length, 17), np.where(own == _SIGN, _OTHER + at[start].astype(np.int64), shape))
+    short = np.flatnonzero((own == _LETTERS) & (length <= _LONGEST))
+    if len(short):
+        spelled = np.zeros((len(short), _LONGEST), np.uint32)
+        for i in range(_LONGEST):
+            more = length[short] > i
+            spelled[more, i] = at[start[short][more] + i]
+        spelled[(spelled >= 65) & (spelled <= 90)] += 32
+        key = spelled.astype(np.int64) @ (131 ** np.arange(_LONGEST))
+        for k, w in enumerate(WORDS):
+            letters = np.array([*map(ord, w), *[0] * (_LONGEST - len(w))])
+            maybe = np.flatnonzero(key == letters @ (131 ** np.arange(_LONGEST)))
+            shape[short[maybe[(spelled[maybe] == letters).all(axis=1)]]] = _WORD + k
+    glued = np.zeros(len(start), bool)
+    glued[1:] = (end[:-1] == start[1:]) & (row[:-1] == row[1:])
+    return Tokens(start - first[row], end - first[row], row, shape, glued)
+
+
+def features(t: Tokens, known: np.ndarray) -> np.ndarray:
+    """Numbers of the five features of each token: its shape with those around it. `known` are the shapes that count, sorted.
+
+    All others are one shape, the edges of a text are two more.
+    """
+    n, base = len(t.shape), len(known) + 3
+    own = np.minimum(np.searchsorted(known, t.shape), max(len(known) - 1, 0))
+    own = np.where(known[own] == t.shape, own, len(known)) if len(known) else np.zeros(n, np.int64)
+
+    def beside(k: int) -> np.ndarray:
+        out = np.full(n, base - 2 if k < 0 else base - 1)
+        here = np.arange(max(0, -k), min(n, n - k)) if abs(k) < n else np.zeros(0, np.int64)
+        same = here[t.row[here] == t.row[here + k]]
+        out[same] = own[same + k]
+        return out
 
-
-def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
-    shapes = [shape(text[a:b]) for a, b in spans]
-    glued = [i > 0 and spans[i - 1][1] == spans[i][0] for i in range(len(spans))]
-    out = []
-    for i, s in enumerate(shapes):
-        g = "+" if glued[i] else " "
-        prev = shapes[i - 1] if i else "^"
-        after = shapes[i + 1] if i + 1 < len(shapes) else "$"
-        h = "+" if i + 1 < len(shapes) and glued[i + 1] else " "
-        before2 = shapes[i - 2] if i > 1 else "^"
-        after2 = shapes[i + 2] if i + 2 < len(shapes) else "$"
-        out.append([f"0{s}", f"-{prev}{g}{s}", f"+{s}{h}{after}", f"b{before2}{prev}{g}{s}", f"a{s}{h}{after}{after2}"])
-    return out
+    before2, before, after, after2 = (beside(k) for k in (-2, -1, 1, 2))
+    g = t.glued.astype(np.int64)
+    h = np.r_[g[1:], 0][:n]
+    left, right = (before * 2 + g) * base + own, (own * 2 + h) * base + after
+    return np.stack([own, left, right, before2 * base**3 * 2 + left, right * base + after2], axis=1) * 5 + np.arange(5)
 
 
 @dataclass
 class Field:
-    feature: dict[str, int]
+    known: np.ndarray  # shapes, sorted
+    feature: np.ndarray  # numbers of features, sorted
     emit: np.ndarray  # [features, labels]; the last row is for features never met
     move: np.ndarray  # [labels, labels]; forbidden moves are very low
     begin: np.ndarray
 
-    def scores(self, rows: list[list[str]]) -> np.ndarray:
-        unknown = len(self.emit) - 1
-        ids = np.array([[self.feature.get(f, unknown) for f in row] for row in rows]).reshape(len(rows), -1)
-        return self.emit[ids].sum(axis=1)
+    def scores(self, t: Tokens) -> np.ndarray:
+        """[token, label]."""
+        out = np.zeros((len(t.shape), len(LABELS)), self.emit.dtype)
+        if len(out):
+            for f in features(t, self.known).T:
+                at = np.minimum(np.searchsorted(self.feature, f), len(self.feature) - 1)
+                out += self.emit[np.where(self.feature[at] == f, at, len(self.feature))]
+        return out
+
+    def open(self, scores: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether a token may be anything but O on the best path of its text.
+
+        A stretch of other labels gains at most what its tokens' best other labels gain, and the best
+        of the moves into, within and out of it. Where no stretch around a token gains anything, the
+        token is O: with O for the whole stretch the path would be better.
+        """
+        within = max(self.move[1:, 1:].max() - self.move[0, 0], -1e3)
+        edge = max(self.move[0, 1:].max() - self.move[0, 0], self.begin[1:].max() - self.begin[0]) + max(self.move[1:, 0].max() - self.move[0, 0], 0.0) - within
+        gain = scores[:, 1:].max(axis=1).astype(np.float64) - scores[:, 0] + within
+        cut = np.r_[False, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        place = np.arange(len(row)) + np.cumsum(cut)  # a bar of -1e4 stands between texts
+        bars = np.full(len(row) + int(cut.sum()), -1e4)
+        bars[place] = gain
+        total = np.cumsum(bars)
+        upto = total - np.minimum.accumulate(np.r_[0, total[:-1]])[: len(total)]
+        back = np.cumsum(bars[::-1])
+        on = (back - np.minimum.accumulate(np.r_[0, back[:-1]])[: len(back)])[::-1]
+        return ((upto + on - bars)[place] + edge > -1e-6) if len(row) else cut
+
+    def labels(self, t: Tokens) -> np.ndarray:
+        """The best path of each text, token by token."""
+        scores = self.scores(t)
+        out = np.zeros(len(scores), np.int64)
+        some = np.flatnonzero(self.open(scores, t.row))
+        if not len(some):
+            return out
+        new = np.r_[True, (some[1:] != some[:-1] + 1) | (t.row[some[1:]] != t.row[some[:-1]])]
+        first, last = some[new], some[np.r_[new[1:], True]]
+        runs = []
+        for a, b in zip(first.tolist(), last.tolist()):
+            s = scores[a : b + 1].astype(np.float64)
+            if a and t.row[a - 1] == t.row[a]:  # O stands before
+                s[0] += self.move[0] - self.begin
+            if b + 1 < len(out) and t.row[b + 1] == t.row[b]:  # and behind
+                s[-1] += self.move[:, 0]
+            runs.append(s)
+        for a, b, y in zip(first.tolist(), last.tolist(), self.viterbi(runs)):
+            out[a : b + 1] = y
+        return out
 
     def viterbi(self, scores: list[np.ndarray], most: int = 256) -> list[np.ndarray]:
         """Best labels of each sequence; sequences of like length are decoded together."""
@@ -168,25 +265,25 @@ def _forbidden() -> np.ndarray:
 
 def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-3) -> Field:
     """Maximum likelihood by AdaGrad over forward-backward of all lines at once."""
-    feature: dict[str, int] = {}
-    lines, gold = [], []
-    for text, spans in rows:
-        tokens = tokenize(text)
-        if not tokens:
-            continue
-        lines.append([[feature.setdefault(f, len(feature)) for f in row] for row in features(text, tokens)])
-        y = np.zeros(len(tokens), int)
+    t = tokenize([text for text, _ in rows])
+    known = np.unique(t.shape)
+    codes = features(t, known)
+    feature, which = np.unique(codes, return_inverse=True)
+    which = which.reshape(codes.shape)
+    label = np.zeros(len(t.row), np.int64)
+    for r, (_, spans) in enumerate(rows):
         for kind, a, b in spans:
-            own = [i for i, (s, e) in enumerate(tokens) if s >= a and e <= b]
-            y[own] = LABELS.index(f"I-{kind}")
-            y[own[:1]] = LABELS.index(f"B-{kind}")
-        gold.append(y)
-    n, length, k = len(lines), max(map(len, lines), default=1), len(LABELS)
+            own = np.flatnonzero((t.row == r) & (t.start >= a) & (t.end <= b))
+            label[own] = LABELS.index(f"I-{kind}")
+            label[own[:1]] = LABELS.index(f"B-{kind}")
+    used, row = np.unique(t.row, return_inverse=True)  # lines with a token
+    size = np.bincount(row, minlength=len(used))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    n, length, k = len(used), int(size.max(initial=1)), len(LABELS)
     ids = np.full((n, length, 5), len(feature))
     mask = np.zeros((n, length), bool)
     truth = np.zeros((n, length), int)
-    for i, (row, y) in enumerate(zip(lines, gold)):
-        ids[i, : len(row)], mask[i, : len(row)], truth[i, : len(row)] = row, True, y
+    ids[row, place], mask[row, place], truth[row, place] = which, True, label
     no = _forbidden()
     start_no = np.array([x[0] == "I" for x in LABELS])
     emit, move, begin = np.zeros((len(feature) + 1, k)), np.zeros((k, k)), np.zeros(k)
@@ -218,29 +315,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80,
             x += rate * d / np.sqrt(h)
     emit[-1] = 0
     emit[-1, 0] = 0.5  # what was never met speaks for O
-    return Field(feature, emit, np.where(no, -1e4, move), np.where(start_no, -1e4, begin))
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches within WINDOW of a digit, at-sign or spelled-out at, widened to white space, joined where they meet."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - WINDOW), min(len(text), m.end() + WINDOW)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    joined: list[list[int]] = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], b)
-        else:
-            joined.append([a, b])
-    return [tuple(x) for x in joined]
+    return Field(known, feature, emit, np.where(no, -1e4, move), np.where(start_no, -1e4, begin))
 
 
 def _acceptable(kind: str, s: str) -> bool:
@@ -252,27 +327,17 @@ def _acceptable(kind: str, s: str) -> bool:
 def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """All spans of each text, by kind and start: the exact ones, and the field's that meet none of them."""
     every = [base_spans(t) for t in texts]
-    places, scores = [], []
-    for k, text in enumerate(texts):
-        for a, b in windows(text) if _TRIGGER.search(text) else ():
-            tokens = tokenize(text, a, b)
-            places.append((k, tokens))
-            scores.append(field.scores(features(text, tokens)))
-    for (k, tokens), labels in zip(places, field.viterbi(scores)):
-        if not labels.any():
-            continue
-        i = 0
-        while i < len(labels):
-            if not labels[i]:
-                i += 1
-                continue
-            kind, j = LABELS[labels[i]][2:], i + 1
-            while j < len(labels) and LABELS[labels[j]] == f"I-{kind}":
-                j += 1
-            start, end = tokens[i][0], tokens[j - 1][1]
-            if _acceptable(kind, texts[k][start:end]) and all(end <= a or start >= b for _, a, b in every[k]):
-                every[k].append((kind, start, end))
-            i = j
+    t = tokenize(texts)
+    labels = field.labels(t)
+    inside = np.array([x[0] == "I" for x in LABELS])
+    begins = np.flatnonzero((labels > 0) & ~inside[labels])
+    for i in begins.tolist():
+        kind, j, row = LABELS[labels[i]][2:], i + 1, int(t.row[i])
+        while j < len(labels) and t.row[j] == row and LABELS[labels[j]] == f"I-{kind}":
+            j += 1
+        start, end = int(t.start[i]), int(t.end[j - 1])
+        if _acceptable(kind, texts[row][start:end]) and all(end <= a or start >= b for _, a, b in every[row]):
+            every[row].append((kind, start, end))
     return [sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])) for spans in every]
 
 
@@ -348,7 +413,8 @@ def spelled(spans: list[tuple[str, int, int]]) -> str:
 def detect(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """(doc_id, counts and digest of the exact spans, all spans, and the text with all spans masked).
 
-    A null text counts as empty. n_<kind> and base_sha256 are of the exact patterns alone; `spans`
+    A null text counts as empty; a text of any length is labelled whole; repeated rows are alike; other
+    columns of `docs` are left out, whatever their names; an empty table gives no rows. n_<kind> and base_sha256 are of the exact patterns alone; `spans`
     and `masked` also hold what the field adds, of which n_added is the number.
     """
     spark = docs.sparkSession
@@ -358,7 +424,7 @@ def detect(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "masked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, digest, spans, added, masked = [], [], [], [], []
             for t, found in zip(texts, find(texts, held.value)):
@@ -386,7 +452,7 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """`docs`, same rows and columns, with the personal data in `text` masked; a null text stays null."""
+    """`docs`, same rows (repeated ones too) and columns, with the personal data in `text` masked; a null text stays null, an empty table empty."""
     spark = docs.sparkSession
     tune(spark)
     held = spark.sparkContext.broadcast(field)
@@ -394,7 +460,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
             found = find([t or "" for t in texts], held.value)
             clean = pa.array([t if not s else mask(t, s) for t, s in zip(texts, found)], pa.string())
@@ -406,6 +472,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
     field = fit(training_table(spark))
     return detect(table(spark, sf_dir, "documents"), field).drop("masked")
 
