@@ -4,7 +4,8 @@ The distinct pieces of a batch of texts are laid out as one row of symbols. An i
 from each mergeable token pair, by its rank, to the positions where it stands; the ranks are then
 applied in order to all pieces at once, and a merge touches the index for its two neighbours only.
 Every text is put together from its pieces' tokens. Texts never meet, so nothing is shuffled, and a
-worker keeps a bounded table of pieces it has met.
+worker keeps a table of pieces it has met. Batches and that table are bounded in bytes; the index
+takes some fifty bytes for each byte of the pieces that are laid out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import slices, table, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces remembered by a worker: twice this many at most.
+#: Bytes of texts that are laid out together; a longer text is by itself.
+BATCH_BYTES = 1 << 20
+#: Pieces remembered by a worker, and their bytes: twice as much at most. A longer piece is not remembered for long.
 REMEMBERED = 250_000
+REMEMBERED_BYTES = 4 << 20
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -45,9 +50,9 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.merged: dict[int, int] = {}  # left id << 32 | right id: rank
-        self.pair = np.full((256, 256), -1)  # rank of two bytes
+        self.pair = np.full((256, 256), -1, np.int32)  # rank of two bytes
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -63,27 +68,27 @@ class Vocabulary:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         n = len(data)
-        follows = np.arange(1, n + 1)
+        follows = np.arange(1, n + 1, dtype=np.int32)
         follows[ends - 1] = -1
-        precedes = np.arange(-1, n - 1)
+        precedes = np.arange(-1, n - 1, dtype=np.int32)
         precedes[np.r_[0, ends[:-1]]] = -1
-        ranks = np.full(n, -1)
+        ranks = np.full(n, -1, np.int32)
         ranks[:-1] = self.pair[data[:-1], data[1:]]
         ranks[ends - 1] = -1
-        places = np.flatnonzero(ranks >= 0)
+        places = np.flatnonzero(ranks >= 0).astype(np.int32)
         places = places[np.argsort(ranks[places], kind="stable")]
         found, first = np.unique(ranks[places], return_index=True)
-        bounds, every = [*first.tolist(), len(places)], places.tolist()
+        bounds, every = [*first.tolist(), len(places)], array("i", places.tobytes())
         #: The inverted index: of each rank, where its pairs stand.
         index = {r: every[bounds[k] : bounds[k + 1]] for k, r in enumerate(found.tolist())}
-        sym, after, before = self.byte[data].tolist(), follows.tolist(), precedes.tolist()
-        piece = np.repeat(np.arange(len(pieces)), np.diff(np.r_[0, ends])).tolist()
+        sym, after, before = (array("i", x.tobytes()) for x in (self.byte[data], follows, precedes))
+        piece = array("i", np.repeat(np.arange(len(pieces), dtype=np.int32), np.diff(np.r_[0, ends])).tobytes())
+        del every, follows, precedes, ranks, places
         merged, push = self.merged.get, heapq.heappush
         heap = sorted(index)
         while heap:
             rank = heapq.heappop(heap)
-            here = index.pop(rank)
-            here.sort()
+            here = sorted(index.pop(rank))
             waiting = -1  # a piece in which a merge just made a pair that goes first
             for i in here:
                 j = after[i]
@@ -93,7 +98,7 @@ class Vocabulary:
                     if rank in index:
                         index[rank].append(i)
                     else:
-                        index[rank] = [i]
+                        index[rank] = array("i", (i,))
                         push(heap, rank)
                     continue
                 k, h = after[j], before[i]
@@ -106,7 +111,7 @@ class Vocabulary:
                         if r in index:
                             index[r].append(i)
                         else:
-                            index[r] = [i]
+                            index[r] = array("i", (i,))
                             push(heap, r)
                         if r <= rank:
                             waiting = piece[i]
@@ -116,11 +121,11 @@ class Vocabulary:
                         if r in index:
                             index[r].append(h)
                         else:
-                            index[r] = [h]
+                            index[r] = array("i", (h,))
                             push(heap, r)
                         if r <= rank:
                             waiting = piece[i]
-        left = np.array(sym)
+        left = np.frombuffer(sym, np.int32)
         alive = np.flatnonzero(left >= 0)
         cuts = np.searchsorted(alive, ends).tolist()
         ids = left[alive].tolist()
@@ -140,7 +145,7 @@ class Encoder:
         self.any = splitter(pattern).findall
         plain = pattern.replace(r"\p{L}+", r"[^\W\d_]+").replace(r"\p{N}+", r"\d+").replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)")
         self.plain = re.compile(plain).findall if r"\p" not in plain else self.any
-        self.remembered = remembered
+        self.remembered, self.size = remembered, 0
         self.young: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # a piece's ids in decimal; their bytes
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
@@ -150,8 +155,8 @@ class Encoder:
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """Pieces of each text, all of which are then known."""
         split = [self.split(t) for t in texts]
-        if len(self.young[0]) > self.remembered:
-            self.old, self.young = self.young, ({}, {})
+        if len(self.young[0]) > self.remembered or self.size > REMEMBERED_BYTES:
+            self.old, self.young, self.size = self.young, ({}, {}), 0
         decimal, decoded = self.young
         fresh = []
         for w in set(itertools.chain.from_iterable(split)).difference(decimal):
@@ -167,6 +172,7 @@ class Encoder:
             ids = [whole[c]] if c in whole else next(replayed)
             decimal[w] = ",".join(map(str, ids)).encode()
             decoded[w] = b"".join([token[x] for x in ids])
+            self.size += len(c)
         return split
 
     def ids(self, pieces: list[str]) -> np.ndarray:
@@ -198,6 +204,9 @@ def _paths(path: str | None, pattern: str | None) -> tuple[str, str]:
 def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: str | None = None, pattern: str | None = None, digest: str | None = None) -> DataFrame:
     """`docs` (all its columns) with `out`, the text's token ids; a null text is an empty one.
 
+    A column of that name is replaced, any others stay. Texts are encoded whole, however long;
+    repeated rows are encoded alike; an empty table gives no rows.
+
     `digest` names a column for the SHA-256 of the bytes that the ids decode to, if it is wanted.
     """
     tune(docs.sparkSession)
@@ -208,7 +217,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, BATCH_BYTES)):
             split = coder.pieces([t or "" for t in batch.column(at).to_pylist()])
             ids = [coder.ids(p) for p in split]
             more = [pa.array([hashlib.sha256(coder.decoded(p)).hexdigest() for p in split], pa.string())] if digest else []
@@ -240,14 +249,18 @@ def decode(coded: DataFrame, ids: str = "token_ids", out: str = "decoded", path:
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text is an empty one."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text is an empty one.
+
+    Texts are encoded whole, however long; repeated rows give equal ones, a null doc_id stays; other
+    columns are left out, whatever their names; an empty table gives no rows.
+    """
     tune(docs.sparkSession)
     path, pattern = _paths(path, pattern)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH_BYTES)):
             n, ids, back = [], [], []
             for pieces in coder.pieces([t or "" for t in batch.column(1).to_pylist()]):
                 decimal = coder.decimal(pieces)
@@ -265,4 +278,5 @@ def tokenize_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """The digests of every document."""
     return digests(table(spark, sf_dir, "documents"))
