@@ -59,6 +59,16 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_values(x: np.ndarray) -> list[bytes]:
+    """Numbers few of which are different: these, and the place of each among them."""
+    kinds, which = np.unique(x, return_inverse=True)
+    return [pack(kinds), pack(which.astype(np.uint32))]
+
+
+def unpack_values(parts: list[bytes], kind: type) -> np.ndarray:
+    return unpack(parts[0], kind)[unpack(parts[1], np.uint32)]
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     return pack(np.diff(x, prepend=np.uint64(0)))
 
@@ -87,18 +97,21 @@ OWN, SUMS = -1, -1
 Message = dict
 
 
-def _sent(messages: Iterator[Message], rows: int = 32) -> Iterator[pa.RecordBatch]:
+def _sent(messages: Iterator[Message], rows: int = 32, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows and megabytes."""
     held: list[Message] = []
+    size = 0
     for m in messages:
         held.append({"stats": None, **m})
-        if len(held) == rows:
+        size += sum(map(len, m["parts"]))
+        if len(held) == rows or size > most:
             yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
-def _read(batches: Iterator[pa.RecordBatch], rows: int = 8) -> Iterator[Message]:
+def _read(batches: Iterator[pa.RecordBatch], rows: int = 2) -> Iterator[Message]:
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield from batch.slice(a, rows).to_pylist()
@@ -367,17 +380,17 @@ def split_contexts(message: Message, s: Statistics, order: int, buckets: int) ->
     for k in range(buckets):
         if x[k] < x[k + 1] or y[k] < y[k + 1]:
             i, j = slice(x[k], x[k + 1]), slice(y[k], y[k + 1])
-            yield {"block": message["block"], "bucket": k, "parts": [pack_sorted(key[i]), pack(freed[i]), pack(covered[i]), pack_sorted(asked[j])]}
+            yield {"block": message["block"], "bucket": k, "parts": [pack_sorted(key[i]), pack_sorted(asked[j]), *pack_values(freed[i]), *pack_values(covered[i])]}
 
 
 def weights(messages: list[Message]) -> Iterator[Message]:
     """To each block that asks: the sums of its histories (both 0 for one with no owned n-gram, which has none to free)."""
     h = np.concatenate([unpack_sorted(m["parts"][0]) for m in messages])
     context, which = np.unique(h, return_inverse=True)
-    freed = np.bincount(which, np.concatenate([unpack(m["parts"][1], np.float64) for m in messages]), len(context))
-    covered = np.bincount(which, np.concatenate([unpack(m["parts"][2], np.float64) for m in messages]), len(context))
+    freed = np.bincount(which, np.concatenate([unpack_values(m["parts"][2:4], np.float64) for m in messages]), len(context))
+    covered = np.bincount(which, np.concatenate([unpack_values(m["parts"][4:6], np.float64) for m in messages]), len(context))
     for m in messages:
-        asked = unpack_sorted(m["parts"][3])
+        asked = unpack_sorted(m["parts"][1])
         if len(asked):
             at = np.minimum(np.searchsorted(context, asked), max(len(context) - 1, 0))
             met = context[at] == asked if len(context) else np.zeros(len(asked), bool)
