@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, skew_join, table
 
 #: Roles that are nobody: they are rendered alike for every participant and never are the assistant.
 SYSTEM = ("system",)
@@ -28,7 +28,8 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> DataFrame:
     the segment: `<|assistant|>`, `<|system|>` or `<|user:NAME|>`, the text, and the end mark. The
     mask covers the text and end mark of the perspective's own segments and is null elsewhere. A
     null text is empty, a null role is the user `unknown`; rows with a null conv_id take no part.
-    Places count code points of the whole rendered dialogue.
+    Places count code points of the whole rendered dialogue. Texts of any length stay whole; an
+    empty table gives no rows, nor does a conversation in which nobody takes part.
     """
     rows = turns.where("conv_id is not null").select("conv_id", "turn", F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     nobody = F.col("speaker").isin(*system) if system else F.lit(False)
@@ -36,7 +37,7 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> DataFrame:
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     role = F.when(own, "assistant").when(F.coalesce(nobody, F.lit(False)), "system").otherwise("user")
     name = F.when(role == "user", F.coalesce("speaker", F.lit("unknown")))
-    seen = rows.join(people, "conv_id").withColumns({"role": role, "name": name, "own": own})
+    seen = skew_join(rows, people, "conv_id").withColumns({"role": role, "name": name, "own": own})
     head = F.when(F.col("role") == "user", F.concat(F.lit("<|user:"), "name", F.lit("|>"))).otherwise(F.concat(F.lit("<|"), "role", F.lit("|>")))
     seen = seen.withColumns({"head": F.length(head), "content": F.concat(head, "text", F.lit(END)), "tie": F.md5("text")})
     order = ["conv_id", "perspective", F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_first(), "tie"]
@@ -55,6 +56,7 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """All conversations, once for each of their participants."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 

@@ -93,6 +93,14 @@ def release(spark: SparkSession, *paths: str) -> None:
         fs.delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it where `df` has such a column already; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: More keys than this are never sent to all workers as hot ones.
 HOT_KEYS = 10_000
 

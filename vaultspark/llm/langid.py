@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, fold, table, text_bytes, tune
+from .common import CHUNK_BYTES, fold, fresh, table, text_bytes, tune
 
 ORDER = 4
 #: Bound of the training sample: distinct texts per language, and bytes per language (whole texts
@@ -174,15 +174,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     lang_pred is `und`, score 0, if the text is null or has no letter, or nothing was learned.
     Otherwise score is the posterior of the best language under equal priors; of equal code
-    lengths the first language in alphabetical order wins. Columns of those names are replaced.
+    lengths the first language in alphabetical order wins. Columns of those names are replaced, any
+    others stay. Texts are read whole, however long; repeated rows are judged alike; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     tune(spark)
     held = spark.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "bits_per_byte")
-    judged = kept.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    judged = kept.withColumn(fresh(kept, "letters"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names = judged.columns
-    at, letters = names.index(text), names.index("_letters")
+    at, letters = names.index(text), len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fold, hash_spans, table, text_bytes, tune, word_hash, words
 
-#: Bound of the labelled sample that is fitted on, the first rows by hash of the id.
+#: Bounds of the labelled sample that is fitted on, the first rows by hash of the id: rows, and bytes of whole texts.
 SAMPLE = 8000
+SAMPLE_BYTES = 64 << 20
 LEXICON = "abuse bastard clown creep crap damn disgusting dumb fool garbage hate idiot jerk kill liar loser moron pathetic pig scum shame shut stupid trash ugly vermin worthless".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros su".split()
 NEAR = 6
@@ -266,21 +267,31 @@ def fit_texts(texts: list[str], y: np.ndarray) -> Model:
     return Model(lex, trees, isotonic(trees.margin(x[1]), y[third]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on up to `sample` labelled documents, the first by hash of their id; a label is the id's largest."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on up to `sample` labelled documents, the first by hash of their id until their texts have `most` bytes.
+
+    A label is the largest of its id. Rows without id or label teach nothing, nor does an empty table.
+    """
     few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text", "y")
-    texts, y = [], []
+    texts, y, size = [], [], 0
     for r in rows.toLocalIterator():
+        size += len(r["text"].encode())
+        if size > most and texts:
+            break
         texts.append(r["text"])
         y.append(r["y"])
     return fit_texts(texts, np.array(y, float))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` (all its columns) with `score` (0 to 1) and `predicted` (1 if score >= 0.5); a null text is an empty one."""
+    """`docs` (all its columns) with `score` (0 to 1) and `predicted` (1 if score >= 0.5); a null text is an empty one.
+
+    Columns of those names are replaced, any others stay. Texts are scored whole, however long;
+    repeated rows are scored alike; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     tune(spark)
     held = spark.sparkContext.broadcast(model)

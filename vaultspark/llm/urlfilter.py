@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, release, table
 
 BITS_PER_KEY = 12
 HASHES = 6
@@ -79,15 +79,18 @@ def cascade(universe: DataFrame, max_levels: int = 64) -> list[Level]:
     """Levels over `universe` (key, listed), one row for each key of the corpus."""
     sides = [universe.where("listed").select("key"), universe.where("not listed").select("key")]
     levels: list[Level] = []
+    used: list[str] = []
     n = sides[0].count()
     while n:
         if len(levels) == max_levels:
             raise RuntimeError("the cascade did not end")
         level = encode(sides[0], n, len(levels))
         levels.append(level)
-        wrong, _ = materialize(sides[1].where(level.knows(F.col("key"))), "wrong")
+        wrong, path = materialize(sides[1].where(level.knows(F.col("key"))), "wrong")
+        used.append(path)
         sides = [wrong, sides[0]]
         n = wrong.count()
+    release(universe.sparkSession, *used)
     return levels
 
 
@@ -99,10 +102,10 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def key_universe(rows: DataFrame, key: Column, listed: Column) -> DataFrame:
-    """(key, listed): each key of the rows, and whether any of its rows lists it."""
+def key_universe(rows: DataFrame, key: Column, listed: Column) -> tuple[DataFrame, str]:
+    """(key, listed): each key of the rows, and whether any of its rows lists it; and its table."""
     keyed = rows.select(key.alias("key"), F.coalesce(listed, F.lit(False)).alias("listed")).groupBy("key").agg(F.max("listed").alias("listed"))
-    return materialize(keyed, "universe")[0]
+    return materialize(keyed, "universe")
 
 
 def listed_rows(rows: DataFrame, key: str, universe: DataFrame, out: str = "listed") -> DataFrame:
@@ -125,17 +128,22 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str
     Where a rule fits, the longest one gives the verdict. Elsewhere a page is blocked if its host
     is listed, and allowed if not: the hosts on which a rule blocks some page of the corpus are
     listed, by a cascade over all its hosts. A url that is null or has no `://` has an empty host.
+    Columns of those four names are replaced, any others stay. Repeated rows are judged alike; urls
+    of any length are read whole; an empty table gives no rows.
     """
     text, verdict = longest_rule(rules)
-    parsed = with_host_path(pages, url)
-    ruled = parsed.withColumns({"rule": text, "_verdict": verdict})
-    universe = key_universe(ruled, F.col("host"), F.col("_verdict") == "block")
-    judged = listed_rows(ruled, "host", universe, "_listed")
-    method = F.when(F.col("_listed"), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("_verdict", method)).drop("_verdict", "_listed")
+    parsed = with_host_path(pages.drop("rule", "verdict"), url)
+    ruled, listed = fresh(parsed, "ruled"), fresh(parsed, "listed")
+    judged = parsed.withColumns({"rule": text, ruled: verdict})
+    universe, path = key_universe(judged, F.col("host"), F.col(ruled) == "block")
+    judged = listed_rows(judged, "host", universe, listed)
+    release(pages.sparkSession, path)
+    method = F.when(F.col(listed), "block").otherwise("allow")
+    return judged.withColumn("verdict", F.coalesce(ruled, method)).drop(ruled, listed)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Every page's verdict."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
