@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,28 +109,67 @@ def test_any_two_fingerprints_within_three_bits_share_a_key():
     assert {r for _, r in both} == set(range(len(a)))
 
 
+def components_of(fps, pairs):
+    place = {int(f): i for i, f in enumerate(fps)}
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(place[x])] = find(place[y])
+    least = {}
+    for i in range(len(fps)):
+        least.setdefault(find(i), int(fps[i]))
+    return [least[find(i)] for i in range(len(fps))]
+
+
+def crowd(n, seed=3, spread=40):
+    """Distinct fingerprints around a few centres."""
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 1 << 62, 4).astype(np.uint64)
+    return np.unique(np.array([centre[i % 4] ^ np.uint64(sum(1 << int(b) for b in rng.choice(spread, rng.integers(0, 5), replace=False))) for i in range(n)], np.uint64))
+
+
 def test_links_in_a_key_reach_as_far_as_all_pairs():
-    rng = np.random.default_rng(3)
-    centre = rng.integers(0, 1 << 63, 4).astype(np.uint64)
-    fps = np.unique(np.array([centre[i % 4] ^ np.uint64(sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 5), replace=False))) for i in range(300)], np.uint64))
-    want = brute_components(fps.tolist(), fps)
-    for links in (simhash._dense_links, simhash._ball_links):
-        place = {int(f): i for i, f in enumerate(fps)}
-        root = list(range(len(fps)))
-
-        def find(x):
-            while root[x] != x:  # noqa: B023
-                x = root[x]  # noqa: B023
-            return x
-
-        for a, b in links(fps):
-            assert (np.bitwise_count(a ^ b) <= 3).all()
-            for x, y in zip(a.tolist(), b.tolist()):
-                root[find(place[x])] = find(place[y])
-        groups = {}
-        for i in range(len(fps)):
-            groups.setdefault(find(i), set()).add(want[i])
-        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
+    fps = crowd(300)
+    pairs = [(a, b) for x, y in simhash._forest(fps) for a, b in zip(x.tolist(), y.tolist())]
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+    assert components_of(fps, pairs) == brute_components(fps.tolist(), fps)
+
+
+@pytest.mark.parametrize("run", [4096, 60, 9])
+def test_full_keys_are_dealt_by_finer_ones(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    fps = crowd(700, spread=64)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found, paths = simhash.links(df)
+    pairs = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in found.collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs) and len(paths) > (run < 100)
+    assert components_of(fps, pairs) == brute_components(fps.tolist(), fps)
+
+
+def test_finer_keys_hold_every_pair_and_few_fingerprints():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    b = np.array([x ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, replace=False))) for x in a], np.uint64)
+    for width, most in ((8, 56), (4, 560)):
+        met = np.zeros(len(a), bool)
+        keys = list(zip(simhash.finer_keys(a, width), simhash.finer_keys(b, width), strict=True))
+        for (ka, _), (kb, _) in keys:
+            met |= ka == kb
+        assert met.all() and len(keys) == most
+
+
+def test_a_streamed_key_holds_little():
+    """Half a million fingerprints of one key pass through batch by batch."""
+    n, size = 500_000, 10_000
+    batch = lambda i: pa.RecordBatch.from_arrays([pa.array(np.full(size, 7)), pa.array(np.arange(i * size, (i + 1) * size))], ["key", "fp"])
+    out = list(simhash._linked((batch(i) for i in range(n // size)), simhash.RUN))
+    assert sum(b.num_rows for b in out) == n and max(b.num_rows for b in out) <= 1 << 17 and all(b.column(1).null_count == b.num_rows for b in out)
 
 
 def test_near_duplicates_agree_with_brute_force(spark):
@@ -159,9 +199,9 @@ def test_a_repeated_id_keeps_a_row_of_each_component(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (100, 300), (5, 5), (None, 1)] + [(1000, 1000 + i) for i in range(1, 50)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long"))[0].collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100} | {i: 1000 for i in range(1000, 1050)}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
 # --- decontamination ------------------------------------------------------------------------
@@ -245,7 +285,7 @@ def test_lists_agree_with_brute_force(seed):
     ids = rng.permutation(n * 2)[:n].astype(np.int64)
     q = np.concatenate([v[:20], np.zeros((1, d), np.int64)])
     own = np.concatenate([ids[:20], [-1]])
-    rows, found, score = topk.Lists(ids, v).top(q, own[: len(q)], 5)
+    rows, found, score, _ = topk.Lists(ids, v).top(q, own[: len(q)], 5)
     for j in range(len(q)):
         s = v @ q[j]
         keep = ids != own[j]
@@ -253,13 +293,26 @@ def test_lists_agree_with_brute_force(seed):
         assert found[rows == j].tolist() == ids[keep][order].tolist() and score[rows == j].tolist() == s[keep][order].tolist()
 
 
+def test_lists_stop_early_where_values_are_skewed():
+    """A few vectors with large values, as weights of words or clicks have them: most of the lists stay unread."""
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.pareto(1.2, (2000, 12)) * 10).astype(np.int64)
+    q = np.floor(rng.pareto(1.2, (30, 12)) * 10).astype(np.int64)
+    rows, found, score, depth = topk.Lists(np.arange(2000), v).top(q, np.full(30, -1), 5)
+    for j in range(30):
+        s = v @ q[j]
+        assert found[rows == j].tolist() == np.lexsort((np.arange(2000), -s))[:5].tolist() and score[rows == j].tolist() == sorted(s, reverse=True)[:5]
+    assert depth.mean() < 0.3 and (depth < 1).all()
+
+
 def test_search_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
     monkeypatch.setattr(topk, "QUERY_ROWS", 2)  # so that queries come in blocks
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (50, [0.5, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, []), (100, [0.0, 0.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     v = topk.quantized(e)
-    got = [tuple(r) for r in topk.search(v, v.where("vec_id % 50 = 0"), 3).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in topk.search(v, v.where("vec_id % 50 = 0"), 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 98304), (0, 2, 1, 98304), (0, 3, 2, 65536), (50, 1, 1, 98304), (50, 2, 1, 98304), (50, 3, 0, 65536), (100, 1, 0, 0), (100, 2, 1, 0), (100, 3, 1, 0)]
     assert topk.search(v.limit(0), v, 3).count() == 0 and topk.search(v, v.limit(0), 3).count() == 0
 
@@ -284,7 +337,7 @@ def test_cascade_is_exact(spark, monkeypatch, shard):
     monkeypatch.setattr(urlfilter, "SHARD_KEYS", shard)
     monkeypatch.setattr(urlfilter, "BITS_PER_KEY", 4)  # so that it has several levels
     rows = spark.range(4000).select(F.concat(F.lit("h"), F.col("id") % 2000).alias("k"), F.when(F.col("id") % 2000 < 2, F.lit(None)).otherwise(F.pmod(F.xxhash64(F.col("id") % 2000), F.lit(5)) == 0).alias("l"))
-    universe = urlfilter.key_universe(rows, F.col("k"), F.col("l"))
+    universe, _ = urlfilter.key_universe(rows, F.col("k"), F.col("l"))
     if shard > 1000:
         assert len(urlfilter.cascade(universe)) >= 3
     assert urlfilter.listed_rows(rows, "k", universe, "got").where("got <> coalesce(l, false)").count() == 0

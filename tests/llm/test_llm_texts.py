@@ -271,6 +271,65 @@ def test_field_sees_spelled_out_addresses(field):
     assert pii.find(plain, field) == [[], [], []]
 
 
+def test_tokens_and_shapes():
+    random.seed(2)
+    texts = ["".join(random.choices("aAzZ9٣²é_-. \n\x85日Ⅷǅ@v", k=random.randint(0, 30))) for _ in range(300)] + ["At VERSION v dots " + "7" * 30, ""]
+    t = pii.tokenize(texts)
+    want = [(r, *m.span()) for r, x in enumerate(texts) for m in re.finditer(r"[^\W\d_]+|\d+|[^\w\s]|_", x)]
+    assert list(zip(t.row.tolist(), t.start.tolist(), t.end.tolist())) == want
+    last = t.shape[t.row == 300].tolist()
+    assert last == [pii._WORD + pii.WORDS.index("at"), pii._WORD + pii.WORDS.index("version"), pii._WORD + pii.WORDS.index("v"), pii._SMALL, 17]
+
+
+def test_decoding_open_stretches_is_decoding_all(spark, field):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    random.seed(4)
+    lines = [x for x, _ in pii.labelled_lines()]
+    texts += [" ".join(random.choices(lines, k=5)) for _ in range(60)] + ["", "9 " * 500, "@", "tel 415 555 0199"]
+    t = pii.tokenize(texts)
+    scores = field.scores(t).astype(float)
+    whole = np.concatenate([np.zeros(0, int), *field.viterbi([scores[t.row == r] for r in range(len(texts))])])
+    assert (field.labels(t) == whole).all() and whole.any()
+    plain = t.row < 60
+    assert field.open(scores, t.row)[plain].mean() < 0.2  # the bound does its work
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """One step from zero on one line moves every weight by the sign of the difference quotient of the log-likelihood."""
+    import itertools
+
+    rows = [("a 12", [("card", 2, 4)])]
+    k = len(pii.LABELS)
+    gold = (0, pii.LABELS.index("B-card"))
+    allowed = [y for y in itertools.product(range(k), repeat=2) if pii.LABELS[y[0]][0] != "I" and (pii.LABELS[y[1]][0] != "I" or pii.LABELS[y[0]][2:] == pii.LABELS[y[1]][2:])]
+    one = pii.train(rows, rounds=1, ridge=0.0)
+    # at zero weights all allowed paths are alike, so the expected counts are shares of paths
+    expected = np.zeros((k, k))
+    for y in allowed:
+        expected[y] += 1 / len(allowed)
+    gradient = -expected
+    gradient[gold] += 1
+    moved = np.where(one.move <= -1e3, 0, one.move)
+    some = np.abs(gradient) > 1e-9
+    possible = one.move > -1e3
+    assert (np.sign(moved[some & possible]) == np.sign(gradient[some & possible])).all()
+
+
+def test_added_spans_of_held_out_lines():
+    """Fitted on half of the fills, the field finds what the patterns leave in the other half."""
+    lines = pii.labelled_lines()
+    layouts = len(lines) // 24
+    fit, held = lines[: 12 * layouts], lines[12 * layouts :]
+    field = pii.train(fit)
+    hit = found = there = 0
+    for (text, gold), got in zip(held, pii.find([t for t, _ in held], field)):
+        base = pii.base_spans(text)
+        want = {s for s in gold if all(s[2] <= a or s[1] >= b for _, a, b in base)}
+        added = set(got) - set(base)
+        hit, found, there = hit + len(want & added), found + len(added), there + len(want)
+    assert there > 60 and hit / found > 0.9 and hit / there > 0.9
+
+
 def test_viterbi_is_exact(field):
     rng = np.random.default_rng(1)
     scores = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 4, 3)]
