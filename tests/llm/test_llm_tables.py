@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vaultspark.llm import chat, components, decontaminate, registry, simhash, topk, urlfilter
+from vaultspark.llm import chat, components, decontaminate, langid, pii, registry, simhash, topk, urlfilter
+from vaultspark.llm.common import skew_join, text_bytes
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,6 +236,29 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_leaks_are_those_of_aligning_every_pair(spark):
+    """Whole texts against whole items, without seeds or windows."""
+    random.seed(3)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(25).collect()]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(60).collect()]
+    base = [t for _, t in docs[:25]]
+    for i, ((_, t), host) in enumerate(zip(items, base)):
+        w = t.split()
+        for k in random.sample(range(len(w)), len(w) // 6):  # edits: a word changed, lost or added
+            w[k] = random.choice(["other", "", w[k] + " indeed"])
+        docs.append((5000 + i, f"{host} {' '.join(w)} {host}"))
+        docs.append((6000 + i, f"{host} {' '.join(w[: len(w) // 3])} {host}"))
+    words = lambda t: decontaminate.normal_words(*text_bytes(pa.array([t])))[0]
+    wi, wd = [words(t) for _, t in items], [words(t) for _, t in docs]
+    want = set()
+    for (item, _), x in zip(items, wi):
+        score, _ = decontaminate.smith_waterman([x] * len(wd), wd)
+        want |= {(docs[d][0], item) for d in np.flatnonzero(score >= decontaminate.MATCH * min(decontaminate.SHARE * len(x), decontaminate.ENOUGH))}
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(want) >= 25 and got <= want and len(got & want) >= 0.9 * len(want)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontaminate.contaminated(docs, items).select("doc_id", "item_id", "score").collect()
@@ -365,3 +389,45 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_clashing_columns_of_pages_stay(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").withColumns({"_verdict": F.lit(1), "_listed": F.lit(2), "ruled": F.lit(3), "listed": F.lit(4), "rule": F.lit(5)})
+    got = urlfilter.judge(df)
+    assert {tuple(r) for r in got.select("_verdict", "_listed", "ruled", "listed").collect()} == {(1, 2, 3, 4)} and got.count() == df.count()
+    want = {r["page_id"]: r["verdict"] for r in urlfilter.op9(spark, SF).collect()}
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == want
+    long = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 300_000), (1, "http://a.net/es/" + "x" * 300_000)], "page_id long, url string")
+    assert [r["verdict"] for r in urlfilter.judge(long).collect()] == ["block", "block"] and urlfilter.judge(long.limit(0)).count() == 0
+
+
+def test_pipeline_stages_keep_rows_of_a_repeated_id(spark):
+    one = "Please write to ann@example.com about the long and winding road that leads to the door"
+    docs = docs_of(spark, (1, one), (1, "quite another text of some words that is nobody's copy at all"), (None, one), (2, None), (3, ""))
+    more = docs.withColumns({"text_hash": F.lit(7), "letters": F.lit(8)})
+    kept = decontaminate.drop_contaminated(more, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert kept.count() == 5 and kept.columns == more.columns
+    assert sorted(str(r["text"])[:24] for r in pii.redact_documents(more).collect()) == sorted(["Please write to <email> "] * 2 + ["quite another text of so", "None", ""])
+    dropped = simhash.drop_near_duplicates(more)
+    assert dropped.columns == more.columns and sorted(str(r["doc_id"]) for r in dropped.collect()) == ["1", "1", "2", "None"]
+    assert langid.keep_identified(more).count() == 3
+    for stage in (pii.redact_documents, simhash.drop_near_duplicates, langid.keep_identified):
+        assert stage(more.limit(0)).count() == 0
+
+
+def test_a_very_long_turn_and_a_hot_conversation(spark):
+    turns = [(1, 0, "a", "x" * 200_000), (1, 1, "b", "y")] + [(2, i, "ab"[i % 2], f"t{i}") for i in range(3000)] + [(2, 7, "a", "t7")] * 3
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.rotate(df).collect()
+    assert len(rows) == 2 * len(turns)
+    hot = sorted((r for r in rows if r["conv_id"] == 2 and r["perspective"] == "a"), key=lambda r: r["seq"])
+    assert [r["seq"] for r in hot] == list(range(1, 3004)) and all(a["char_end"] == b["char_start"] for a, b in zip(hot, hot[1:]))
+    assert max(len(r["content"]) for r in rows) > 200_000
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_skew_join_is_a_join(spark, most):
+    left = spark.createDataFrame([(i, 7 if i < 500 else i % 40) for i in range(900)] + [(-1, None)], "i long, k long")
+    right = spark.createDataFrame([(k, f"r{k}{c}") for k in range(35) for c in "ab"] + [(None, "no")], "k long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, skew_join(left, right, "k", how, most).select("i", "k", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("i", "k", "v").collect()))

@@ -439,3 +439,91 @@ def test_boosting_learns_an_interaction():
     x = rng.random((2000, 3)).astype(np.float32)
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((toxicity.boost(x, y).margin(x) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_a_split_is_the_best_of_all():
+    """One tree of one level against every feature and every threshold between values."""
+    rng = np.random.default_rng(4)
+    for rising in (None, [0]):
+        x = rng.integers(0, 6, (60, 3)).astype(np.float32)
+        y = (rng.random(60) < 0.15 + 0.12 * x[:, 1]).astype(float)
+        model = toxicity.boost(x, y, rounds=1, depth=1, rising=rising)
+        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        g, h = p - y, np.full(60, p * (1 - p))
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)  # noqa: B023, E731
+        best = max(gain(left) + gain(~left) - gain(left | True) for k in range(3) for cut in np.unique(x[:, k])[:-1] if min(h[left := x[:, k] <= cut].sum(), h[~left].sum()) >= 1 and not (rising and k == 0 and g[left].sum() / (h[left].sum() + 1) < g[~left].sum() / (h[~left].sum() + 1)))
+        left = x[:, model.feature[0][0]] <= model.threshold[0][0]
+        assert gain(left) + gain(~left) - gain(left | True) == pytest.approx(best)
+        value = [-0.15 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)]
+        assert model.leaf[0].tolist() == pytest.approx(value)
+
+
+def test_isotonic_is_the_max_min_of_means():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        s, y = rng.integers(0, 8, 30).astype(float), rng.integers(0, 2, 30).astype(float)
+        x, v = toxicity.isotonic(s, y)
+        every = np.unique(s)
+        mean = lambda a, b: y[(s >= a) & (s <= b)].mean()  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in every[every >= z]) for a in every[every <= z]) for z in every]
+        assert np.interp(every, x, v).tolist() == pytest.approx(want)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x " * 500, "en", "s", 0) for i in range(60)], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    toxicity.fit_texts, kept = (lambda texts, y: seen.append(len(texts))), toxicity.fit_texts
+    try:
+        toxicity.fit(docs, labels, most=10_500)
+    finally:
+        toxicity.fit_texts = kept
+    assert seen == [10]
+
+
+def test_clashing_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    df = odd(spark).withColumns({"letters": F.lit(1), "_letters": F.lit(2), "text_hash": F.lit(3), "lang_pred": F.lit("x")})
+    model = langid.train({"en": [b"the of and"], "de": [b"der die das"]})
+    got = langid.predict(df, model)
+    assert {(r["letters"], r["_letters"], r["text_hash"]) for r in got.collect()} == {(1, 2, 3)} and got.where("lang_pred = 'x'").count() == 0
+    back = bpe.encode(df, out="letters")
+    assert {r["_letters"] for r in back.collect()} == {2} and back.columns.count("letters") == 1
+    assert set(katz.score(df.withColumn("learn", F.lit(True)), "learn").columns) == {"doc_id", "learned", "n_tokens", "n_known", "base_score", "score", "train_tokens"}
+
+
+def test_a_language_of_few_texts_in_many_copies_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(100_000).select((F.col("id") % 5).alias("k")).select(F.concat(F.lit("hola que tal "), F.col("k").cast("string")).alias("text"), F.lit("es").alias("lang"))
+    rest = spark.range(300).select(F.concat(F.lit("hello there "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    got = langid.sample(copies.unionByName(rest), "text", "lang")
+    assert len(got["es"]) == 5 and len(got["en"]) == 300
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+    from vaultspark.llm.common import slices
+
+    texts = ["a" * n for n in (5, 50, 1, 1, 1, 0)] + [None, "b" * 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["i", "t"])
+    parts = list(slices(batch, 1, 10))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(8))
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= 10 or p.num_rows == 1 for p in parts)
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
+def test_a_long_piece_takes_little_memory():
+    import tracemalloc
+
+    import public_tokenizers as P
+
+    v = bpe.Vocabulary(bpe.load_ranks(P.path(bpe.RANKS)))
+    random.seed(1)
+    piece = "".join(random.choices("etaoinshrdlu", k=300_000)).encode()
+    tracemalloc.start()
+    v.replay([piece])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(piece)
