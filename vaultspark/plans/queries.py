@@ -394,8 +394,8 @@ def frontmatter_lines(spark, sf_dir):
 
 # --- outlines -------------------------------------------------------------------------------
 
-_CUSTOMERS = """n AS (SELECT n_nationkey, n_name || '.md' AS path, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-x AS (SELECT path, c_custkey, c_name, n_nationkey, row_number() OVER (PARTITION BY path ORDER BY c_custkey) AS k FROM n JOIN customer ON c_nationkey = n_nationkey),
+_CUSTOMERS = """n AS (SELECT DISTINCT n_nationkey, c_custkey // 1000 AS part, n_name || '-' || c_custkey // 1000 || '.md' AS path, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey),
+x AS (SELECT path, c_custkey, c_name, n_nationkey, row_number() OVER (PARTITION BY path ORDER BY c_custkey) AS k FROM n JOIN customer ON c_nationkey = n_nationkey AND c_custkey // 1000 = part),
 h AS (SELECT path, 0 AS seq, 1 AS level, r_name AS title, 1 AS line_number, CAST(NULL AS BIGINT) AS parent_line FROM n
       UNION ALL SELECT path, 1, 2, n_name, 2, 1 FROM n
       UNION ALL SELECT path, k + 1, 3, c_name, 3 * k + 2, 2 FROM x),
@@ -404,13 +404,14 @@ t AS (SELECT path, max(line_number) + 2 AS total FROM h GROUP BY path)"""
 
 
 def _region_notes(spark, sf_dir, fenced: bool = False) -> DataFrame:
+    """A note for each nation and thousand of customer numbers, so notes keep their size and their number grows."""
     nation = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
-    own = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
+    own = _table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
     third = "~~~" if fenced else "number"
     row = lambda x: F.concat(F.lit("### "), x["c_name"], F.lit(" {#c}  \r\n"), F.lit(f"{third} "), x["c_custkey"].cast("string"), F.lit("\n\n"))
     head = F.concat(F.lit("# "), F.col("r_name"), F.lit("\n## "), F.col("n_name"), F.lit("\n```\n# not a heading\n~~~\n## nor this\n```\n" if fenced else "\nsome text\n\n"))
     body = F.concat(head, F.array_join(F.transform(F.col("c"), row), ""))
-    return nation.join(own, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("n_name", F.lit(".md")).alias("path"), body.alias("content"))
+    return nation.join(own, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("n_name", F.lit("-"), F.col("part").cast("string"), F.lit(".md")).alias("path"), body.alias("content"))
 
 
 @query(f"WITH {_CUSTOMERS} SELECT path, CAST(seq AS INTEGER) AS seq, level, title, CAST(line_number AS INTEGER) AS line_number, CAST(parent_line AS INTEGER) AS parent_line FROM h")
