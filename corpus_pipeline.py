@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultspark.llm import bpe, decontaminate, langid, pii, simhash
-from vaultspark.llm.common import materialize, table
+from vaultspark.llm.common import materialize, release, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the `documents` of sf_dir; each result but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the `documents` of sf_dir; each result but the last is written and read again, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
