@@ -63,25 +63,31 @@ def _section(raw: Column, first: Column, last: Column) -> Column:
     return trim(F.array_join(F.slice(raw, first, F.greatest(last - first + 1, F.lit(0))), ""))
 
 
+def _placed_or_whole(hs: Column) -> Column:
+    """`_placed`, or the one section of level 0 of a note without headings."""
+    none = F.struct(F.lit(0).alias("seq"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(1).alias("line_number"), *[F.lit(None).cast("int").alias(x) for x in ("parent_line", "close", "next")])
+    return F.when(F.size(hs) == 0, F.array(none)).otherwise(_placed(hs))
+
+
+def _of(h: Column, raw: Column, include_subsections: bool) -> list[Column]:
+    """seq, level, title, content, start_line and end_line of the section of a placed heading."""
+    last, whole = F.size(raw), h["level"] == 0
+    end = F.when(whole, F.greatest(last, F.lit(1))).otherwise(F.coalesce(h["close"] if include_subsections else h["next"], last))
+    first = F.when(whole, F.lit(1)).otherwise(h["line_number"] + 1)
+    return [h["seq"].alias("seq"), h["level"].alias("level"), h["title"].alias("title"), _section(raw, first, end).alias("content"), h["line_number"].alias("start_line"), end.alias("end_line")]
+
+
 def with_sections(notes: DataFrame, out: str, include_subsections: bool = True) -> DataFrame:
     """`notes` with `out`, the sections (seq, level, title, content, start_line, end_line) of each; one of level 0 without headings."""
     found = with_headings(notes)
-    last = F.size("raw")
-    none = F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(1).alias("line_number"), F.lit(None).cast("int").alias("parent_line"), F.lit(None).cast("int").alias("close"), F.lit(None).cast("int").alias("next")))
-
-    def one(h: Column) -> Column:
-        whole = h["level"] == 0
-        end = F.when(whole, F.greatest(last, F.lit(1))).otherwise(F.coalesce(h["close"] if include_subsections else h["next"], last))
-        first = F.when(whole, F.lit(1)).otherwise(h["line_number"] + 1)
-        return F.struct(h["seq"].alias("seq"), h["level"].alias("level"), h["title"].alias("title"), _section(F.col("raw"), first, end).alias("content"), h["line_number"].alias("start_line"), end.alias("end_line"))
-
-    placed = found.withColumn(out, F.when(F.size("hs") == 0, none).otherwise(_placed(F.col("hs"))))
-    return placed.withColumn(out, F.transform(out, one)).drop("raw", "hs")
+    return found.withColumn(out, F.transform(_placed_or_whole(F.col("hs")), lambda h: F.struct(*_of(h, F.col("raw"), include_subsections)))).drop("raw", "hs")
 
 
 def sections(notes: DataFrame, include_subsections: bool = True) -> DataFrame:
     """(path, seq, level, title, content, start_line, end_line); one of level 0 for a note without headings."""
-    return with_sections(notes, "_sections", include_subsections).select("path", F.explode("_sections").alias("s")).select("path", "s.*")
+    # The headings are exploded, not the sections: a filter on those would be pushed below all that makes them, and make it again.
+    rows = with_headings(notes).select("path", "raw", F.explode(_placed_or_whole(F.col("hs"))).alias("h"))
+    return rows.select("path", *_of(F.col("h"), F.col("raw"), include_subsections))
 
 
 def section(notes: DataFrame, title: str, include_subsections: bool = True) -> DataFrame:
