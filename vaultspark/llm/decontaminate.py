@@ -306,11 +306,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold no copy of a test item; same columns, no shuffle."""
+    """The documents that hold no copy of a test item; same columns, whatever their names, no shuffle.
+
+    Each row is judged by its own text, so rows that share a doc_id, or have none, stay or go apart;
+    null and empty texts stay; an empty table stays empty.
+    """
     spark, clean, at = docs.sparkSession, docs, docs.columns.index(text)
     for items in blocks(docs, benchmark, text):
         held = spark.sparkContext.broadcast(items)

@@ -478,7 +478,10 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """Every document, its personal data masked; n_chars, where there is one, follows the text."""
+    """Every document, its personal data masked; n_chars, where there is one, follows the text.
+
+    Rows that share a doc_id are masked each; null texts stay null; an empty table stays empty.
+    """
     clean = redact(docs, fit(training_table(docs.sparkSession)))
     if "n_chars" not in docs.columns:
         return clean
