@@ -144,14 +144,14 @@ def sample(docs: DataFrame, text: str, lang: str, texts: int = SAMPLE_TEXTS, mos
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     shares = {name: min(1.0, 4 * texts / max(n, 1)) for name, n in distinct.items()}
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(2**32)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    hashed = rows.withColumn("whole", F.xxhash64("text")).withColumn("h", F.pmod("whole", F.lit(2**32)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "whole"))
     found: dict[str, list[bytes]] = {}
     while shares:
         share = F.lit(False)
         for name, x in sorted(shares.items()):
             share = share | ((F.col("lang") == name) & (F.col("h") < int(2**32 * x)))
-        few = hashed.where(share).dropDuplicates(["lang", "h"])
+        few = hashed.where(share).dropDuplicates(["lang", "whole"])
         got: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
         count = dict.fromkeys(shares, 0)
