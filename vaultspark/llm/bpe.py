@@ -1,4 +1,4 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over the distinct pieces of a batch of texts.
 
 The distinct pieces of a batch of texts are laid out as one row of symbols. An inverted index leads
 from each mergeable token pair, by its rank, to the positions where it stands; the ranks are then
