@@ -330,6 +330,27 @@ def test_added_spans_of_held_out_lines():
     assert there > 60 and hit / found > 0.9 and hit / there > 0.9
 
 
+def test_memory_follows_a_stretch_of_texts_and_not_all(field):
+    import tracemalloc
+
+    lines = [t for t, _ in pii.labelled_lines()]
+    texts = [" ".join(lines)[:16384]] * 128
+    pii.find(texts[:1], field)  # tables of code points
+    tracemalloc.start()
+    found = pii.find(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 128 and all(spans == found[0] for spans in found) and peak < 75e6
+
+
+def test_stretches_find_what_all_texts_together_do(field):
+    texts = [x for t, _ in pii.labelled_lines() for x in (t, "", "é\ud83d " + t)]
+    alone = [pii.find([t], field)[0] for t in texts]
+    assert any(alone) and pii.find([], field) == []
+    for most in (1, 100, 1 << 30):
+        assert pii.find(texts, field, most) == alone
+
+
 def test_viterbi_is_exact(field):
     rng = np.random.default_rng(1)
     scores = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 4, 3)]

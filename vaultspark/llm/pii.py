@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tune
+from .common import chunks, slices, table, tune
+
+#: Code points of texts whose tokens are scored at once; on the labelled lines that takes some 75 bytes for each.
+CHUNK_CHARS = 1 << 18
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -324,8 +327,16 @@ def _acceptable(kind: str, s: str) -> bool:
     return valid(kind, s) and len(s) <= 40
 
 
-def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text, by kind and start: the exact ones, and the field's that meet none of them."""
+def find(texts: list[str], field: Field, most: int = CHUNK_CHARS) -> list[list[tuple[str, int, int]]]:
+    """All spans of each text, by kind and start: the exact ones, and the field's that meet none of them.
+
+    Arrays are of about `most` code points of whole texts at a time; a longer text stands alone.
+    """
+    offsets = np.cumsum([0, *map(len, texts)])
+    return [spans for a, b in chunks(offsets, most) for spans in _find(texts[a:b], field)]
+
+
+def _find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     every = [base_spans(t) for t in texts]
     t = tokenize(texts)
     labels = field.labels(t)
