@@ -22,6 +22,21 @@ def test_tokens(spark):
     assert one(text.low_semantic_value(F.lit("x" * 100))) and not one(text.low_semantic_value(F.lit("a few words"))) and one(text.low_semantic_value(F.lit("")))
 
 
+def test_sizes_round_ties_to_even(spark):
+    sizes = [0, 1279, 1280, 1281, 1792, 3328, 1048524, 1048525, 1048575, 13 << 18, (13 << 18) + 1, 13 << 28, 15 << 28, 1024**4 - 1, 5 << 38, 7 << 38, 2**53 - 1]
+
+    def want(n):
+        size, unit = float(n), 0
+        while size >= 1024 and unit < 4:
+            size, unit = size / 1024, unit + 1
+        return f"{size:.1f} {['B', 'KB', 'MB', 'GB', 'TB'][unit]}" if unit else f"{n} B"
+
+    df = spark.createDataFrame([(n,) for n in [*sizes, *range(1024, 9000, 64), None]], "n long")
+    got = {r["n"]: r["s"] for r in df.select("n", text.format_size("n").alias("s")).collect()}
+    assert got.pop(None) is None
+    assert got == {n: want(n) for n in got} and got[3328] == "3.2 KB"
+
+
 def brute(docs, query):
     split = lambda t: [x for x in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower()) if x]
     toks = {k: split(t or "") for k, t in docs}

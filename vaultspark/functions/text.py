@@ -62,9 +62,19 @@ def preview(text: Column | str) -> Column:
 
 
 def format_size(size: Column | str) -> Column:
-    b = (F.col(size) if isinstance(size, str) else size).cast("double")
-    scaled = lambda n, unit: F.format_string(f"%.1f {unit}", b / float(1024**n))
-    return F.when(b < 1024, F.format_string("%d B", b.cast("long"))).when(b < 1024**2, scaled(1, "KB")).when(b < 1024**3, scaled(2, "MB")).when(b < 1024.0**4, scaled(3, "GB")).otherwise(scaled(4, "TB"))
+    """Bytes in units of 1024, to one decimal; a tie goes to the even digit, as in C, Rust and SQL's printf. Null for null."""
+    b = (F.col(size) if isinstance(size, str) else size).cast("double").cast("long")
+
+    def scaled(n: int, unit: str) -> Column:
+        whole, tenths = F.shiftright(b, 10 * n), b.bitwiseAND(F.lit(1024**n - 1).cast("long")) * 10
+        # In whole numbers, since format_string rounds ties up: 1.25 is 1.2, and 1.75 is 1.8.
+        digit, rest, half = F.shiftright(tenths, 10 * n), tenths.bitwiseAND(F.lit(1024**n - 1).cast("long")), F.lit(1024**n // 2).cast("long")
+        up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+        all_tenths = whole * 10 + digit + up.cast("long")
+        return F.concat(F.floor(all_tenths / 10).cast("string"), F.lit("."), (all_tenths % 10).cast("string"), F.lit(f" {unit}"))
+
+    named = F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B"))).when(b < 1024**2, scaled(1, "KB")).when(b < 1024**3, scaled(2, "MB"))
+    return named.when(b < 1024**4, scaled(3, "GB")).otherwise(scaled(4, "TB"))
 
 
 def density(text: Column | str) -> Column:
