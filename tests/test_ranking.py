@@ -116,3 +116,46 @@ def test_ranks_of_all(spark, n):
     want = {r["k"]: i for i, r in enumerate(sorted(scored.collect(), key=lambda r: (-r["score"], r["k"])), start=1)}
     ranks = fusion.ranked(scored, "k")
     assert {r["k"]: r["rank"] for r in ranks.collect()} == want and ranks.count() == n
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    df = spark.createDataFrame([(0, "b a b. B"), (1, None), (2, "a"), (3, " ,"), (4, "")], "doc_id long, text string")
+    found = bm25.postings(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 0, 1, 4), ("a", 2, 1, 1), ("b", 0, 3, 4)]
+
+
+def test_postings_of_repeated_keys_count_together(spark, tmp_path):
+    docs = [(0, "b a b"), (0, "a b a"), (0, "b"), (1, "b"), (None, "c c"), (None, "c d"), (2, None)]
+    for case, rows in enumerate((docs, docs[1:2] + docs[3:5], docs[6:], [])):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = Counter((w, k, len(t.split())) for k, t in rows if t for w in t.split())
+        bm25.write_index(df, str(tmp_path / str(case)))
+        written = spark.read.parquet(str(tmp_path / str(case) / "postings"))
+        for found in (bm25.postings(df), written):
+            got = [tuple(r) for r in found.select("term", "doc_id", "dl", "tf").collect()]
+            assert len(got) == len(want) and {x[:3]: x[3] for x in got} == dict(want)
+        stats = spark.read.parquet(str(tmp_path / str(case) / "stats"))
+        assert stats.dtypes == bm25.corpus_stats(df).dtypes and stats.collect() == bm25.corpus_stats(df).collect()
+
+
+def test_written_index_shuffles_texts_and_no_postings(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(i, f"{words} own{i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    bm25.write_index(df, str(tmp_path / "index"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(n for k, n in shuffled().items() if k not in before) < 40 * 10
+    rows = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert rows.count() == 40 * 301
+    files = {}
+    for r in rows.select("term", F.input_file_name().alias("f")).collect():
+        files.setdefault(r["f"], []).append(r["term"])
+    assert all(x == sorted(x) for x in files.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ MAX_WORD = 32
 PREVIEW = 200
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is made once for a row.
+
+    A lambda that names a column of the step before may get that column's expression in its place, and makes it anew for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_BREAK, bm25_tokens
+from ..functions.text import TOKEN_BREAK, bm25_tokens, let
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -53,9 +53,59 @@ def scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl): the inverted index, one row for a term of a document."""
-    rows = docs.select(key, bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    return rows.select(F.explode("_t").alias("term"), key, "dl").groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
+    """(term, key, tf, dl): the inverted index, one row for a term of a document.
+
+    A row's own tokens are sorted and counted within it, so nothing is shuffled. Rows of one key and
+    length count together; whether a key is repeated is asked at once, and only then are rows grouped.
+    """
+    rows = _rows(docs, key, text)
+    return (rows if _distinct(docs, key) else _merged(rows, key)).select("term", key, "tf", "dl")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, F.inline(_counted(F.sort_array(bm25_tokens(F.coalesce(F.col(text), F.lit("")))))))
+
+
+def _distinct(docs: DataFrame, key: str) -> bool:
+    return docs.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+
+
+def _merged(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy("term", key, "dl").agg(F.sum("tf").alias("tf"))
+
+
+def _counted(tokens: Column) -> Column:
+    """(term, tf, dl) of each token of a sorted list, by the places where its runs begin; linear in its length."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        one = lambda at: lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf"), n.cast("long").alias("dl"))
+        return let(begins, lambda at: F.transform(at, one(at)))
+
+    return let(tokens, runs)
+
+
+#: Bytes of text of a file of the written index: its postings, some 50 bytes a byte of text in memory at most, are sorted by one task.
+SEGMENT_BYTES = 16 << 20
+
+
+def write_index(docs: DataFrame, at: str, key: str = "doc_id", text: str = "text") -> None:
+    """`postings`, in order of their terms within each file, and `corpus_stats` of a table as Parquet below `at`.
+
+    Texts are dealt by their keys in parts whose postings one task can sort, which moves a third of the bytes
+    that the postings have. Where keys are repeated the postings are dealt by term instead, and count together.
+    Texts are split once: the sums follow from the postings.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    files = max(-(-size // SEGMENT_BYTES), min(spark.sparkContext.defaultParallelism, 1 + (size >> 20)))
+    rows = _rows(docs.select(key, text).repartition(files, key), key, text) if _distinct(docs, key) else _merged(_rows(docs, key, text).repartition("term"), key)
+    rows = rows.select("term", key, "tf", "dl").sortWithinPartitions("term")
+    rows.write.parquet(f"{at}/postings")
+    tokens = spark.read.schema(rows.schema).parquet(f"{at}/postings").agg(F.sum("tf").alias("_tokens"))
+    n = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(tokens))  # one row
+    n.select("n", F.when(F.col("n") > 0, F.coalesce("_tokens", F.lit(0)) / F.col("n")).alias("avgdl")).write.parquet(f"{at}/stats")
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
