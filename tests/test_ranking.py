@@ -159,3 +159,13 @@ def test_written_index_shuffles_texts_and_no_postings(spark, tmp_path):
     for r in rows.select("term", F.input_file_name().alias("f")).collect():
         files.setdefault(r["f"], []).append(r["term"])
     assert all(x == sorted(x) for x in files.values())
+
+
+def test_scores_round_as_in_sql(spark):
+    from vaultspark.plans.queries import _rounded
+
+    asked = [4.095364499985587, 4.0953645, 2.5, 1e-7, 0.0]
+    df = spark.createDataFrame([(x,) for x in asked], "x double")
+    got = [r[0] for r in df.select(_rounded(_rounded(F.col("x"), 9), 6)).collect()]
+    duckdb = pytest.importorskip("duckdb")
+    assert got == [duckdb.execute("SELECT round(round(?::DOUBLE, 9), 6)", [x]).fetchone()[0] for x in asked]
