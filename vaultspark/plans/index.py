@@ -17,6 +17,8 @@ from ..workers import ship
 FORMAT = 4
 TABLES = ("files", "chunks", "postings", "stats", "meta")
 EMBED_ROWS = 32
+#: Changed paths that are sent to all workers at most, so that what did not change is not shuffled; more are joined as Spark sees fit.
+FEW_PATHS = 1 << 18
 
 
 def content_hash(content: str = "content") -> Column:
@@ -107,10 +109,14 @@ class Index:
             meta = self.table("meta").first()
             return Summary(state, 0, 0, 0, self.table("chunks").count(), meta["has_embeddings"], int(1000 * (time.time() - began)))
         ship(self.spark)
-        todo = chunks(notes.join(changes.where("change <> 'removed'").select("path"), "path", "left_semi"), self.chunking)
+        few = F.broadcast if sum(count.values()) <= FEW_PATHS else lambda df: df
+        if state == "FullRebuild":
+            todo = chunks(notes.where("path is not null"), self.chunking)
+        else:
+            todo = chunks(notes.join(few(changes.where("change <> 'removed'").select("path")), "path", "left_semi"), self.chunking)
         kept = None
         if state == "Stale":
-            kept = self.table("chunks").join(changes.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+            kept = self.table("chunks").join(few(changes.select(F.col("path").alias("source_file"))), "source_file", "left_anti")
             if embed is not None:  # chunks of a build that had no vectors get theirs now
                 todo = todo.unionByName(kept.where("embedding is null").drop("embedding"))
                 kept = kept.where("embedding is not null")
@@ -122,8 +128,7 @@ class Index:
         written = self.spark.read.parquet(f"{at}/chunks")
         has = not written.isEmpty() and written.where("embedding is null").isEmpty()
         searched = written.select(F.struct("source_file", "seq").alias("chunk"), searchable().alias("text"))
-        bm25.postings(searched, "chunk").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
-        bm25.corpus_stats(searched).write.parquet(f"{at}/stats")
+        bm25.write_index(searched, at, "chunk")
         hashes(notes).write.parquet(f"{at}/files")
         self.spark.range(1).select(F.lit(self.key).alias("key"), F.lit(has).alias("has_embeddings")).write.parquet(f"{at}/meta")
         before = self.version()
