@@ -73,3 +73,37 @@ def test_excluded_sections(notes):
     assert cut(text, "Query") == "## Intro\nIntro text.\n\n## Notes\nNotes text.\n"
     assert cut("---\na: b\n---\npre\r\n# A\r\n## q\r\nx\r\n### y\r\nz\r\n# B\r\n", "Q") == "---\na: b\n---\npre\r\n# A\r\n# B\r\n"
     assert cut("# q\nall", "q") == "" and cut("no headings q", "q") == "no headings q" and cut(text) == text
+
+
+def test_spans_are_made_once_for_a_note(notes):
+    for found in (outline.without_sections(notes("# a\nb"), ["a"]), outline.headings(notes("# a\nb"))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "exists(aggregate(" not in plan and "exists(transform(" not in plan
+
+
+def test_headings_and_exclusion_are_line_by_line(notes):
+    rng = random.Random(5)
+    pieces = ["# Drop a\n", "## Drop\r\n", "# keep {#x} \r\n", "### b  \n", "####### no\n", "#no\n", "# \r\n", "#  \n", " # no\n", "```\n", "  ~~~py\n", "x ``` y\n", "text\n", "\n", "###### drop é\n", "## last"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(60)]
+
+    def brute(text):
+        raw, fence, hs = re.findall(r"[^\n]*\n|[^\n]+", text), None, []
+        for n, x in enumerate(raw, 1):
+            if mark := re.match(r"\s*(```|~~~)", x):
+                fence = mark[1] if fence is None else None if fence == mark[1] else fence
+            elif fence is None and (m := re.match(r"(#{1,6})\s+([^\n]+?)(?:\s*\{#[^}]*\})?\s*$", re.sub(r"\r?\n$", "", x))):
+                hs.append((len(m[1]), m[2], n))
+        gone = set()
+        for i, (level, title, n) in enumerate(hs):
+            if "drop" in title.lower():
+                gone |= set(range(n, next((h[2] for h in hs[i + 1 :] if h[0] <= level), len(raw) + 1)))
+        above = [next((p[2] for p in reversed(hs[:i]) if p[0] < h[0]), None) for i, h in enumerate(hs)]
+        return [(i, *h, a) for i, (h, a) in enumerate(zip(hs, above))], "".join(x for n, x in enumerate(raw, 1) if n not in gone)
+
+    df = notes(*texts)
+    got = {}
+    for r in outline.headings(df).collect():
+        got.setdefault(r["path"], []).append(tuple(r)[1:])
+    left = {r["path"]: r["content"] for r in outline.without_sections(df, ["DROP"]).collect()}
+    for i, t in enumerate(texts):
+        assert (sorted(got.get(f"n{i}.md", [])), left[f"n{i}.md"]) == brute(t), t

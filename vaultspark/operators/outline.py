@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chomp, raw_lines, trim
+from ..functions.text import chomp, let, raw_lines, trim
 
 # Fixed value: what a heading line looks like, with an optional id that is no part of the title.
 HEADING = r"(?Ud)^(#{1,6})\s+(.+?)(?:\s*\{#[^}]*\})?\s*$"
 _NEVER = 2147483647
 
 
-def _numbered(raw: Column) -> Column:
-    return F.transform(raw, lambda x, i: F.struct((i + 1).alias("n"), chomp(x).alias("line")))
+def _candidates(raw: Column) -> Column:
+    """(n, line) of the lines that can be headings or fences, so that no pattern is tried on the others."""
+    numbered = F.transform(raw, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    return F.filter(numbered, lambda x: F.startswith(x["line"], F.lit("#")) | F.contains(x["line"], F.lit("```")) | F.contains(x["line"], F.lit("~~~")))
 
 
 def fences(numbered: Column) -> Column:
@@ -33,25 +35,36 @@ def fences(numbered: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: F.when(s["open"] == "", s["spans"]).otherwise(F.concat(s["spans"], F.array(span(s["at"], F.lit(_NEVER))))))
 
 
+def _headings(raw: Column) -> Column:
+    """(level, title, line_number) of each heading line outside fences. Lines and fences are made once for a note, not for each line."""
+    outside = lambda x, spans: ~F.exists(spans, lambda f: x["line_number"].between(f["first"], f["last"]))
+
+    def of(lines: Column) -> Column:
+        own = F.transform(F.filter(lines, lambda x: F.startswith(x["line"], F.lit("#"))), lambda x: F.struct(F.regexp_extract(x["line"], "^#+", 0).alias("marks"), F.regexp_extract(chomp(x["line"]), HEADING, 2).alias("title"), x["n"].alias("line_number")))
+        found = lambda spans: F.filter(own, lambda x: (x["title"] != "") & outside(x, spans))
+        return let(fences(lines), lambda spans: F.transform(found(spans), lambda x: F.struct(F.length(x["marks"]).alias("level"), x["title"].alias("title"), x["line_number"].alias("line_number"))))
+
+    return let(_candidates(raw), of)
+
+
 def with_headings(notes: DataFrame, content: str = "content") -> DataFrame:
     """`notes` with `raw` (lines as they are) and `hs` (level, title, line_number of each heading)."""
-    found = notes.withColumn("raw", F.coalesce(raw_lines(content), F.array().cast("array<string>"))).withColumn("_lines", _numbered(F.col("raw"))).withColumn("_fences", fences(F.col("_lines")))
-    outside = lambda x: ~F.exists("_fences", lambda f: x["n"].between(f["first"], f["last"]))
-    own = F.filter("_lines", lambda x: x["line"].rlike(HEADING) & outside(x))
-    hs = F.transform(own, lambda x: F.struct(F.length(F.regexp_extract(x["line"], HEADING, 1)).alias("level"), F.regexp_extract(x["line"], HEADING, 2).alias("title"), x["n"].alias("line_number")))
-    return found.withColumn("hs", hs).drop("_lines", "_fences")
+    return notes.withColumn("raw", F.coalesce(raw_lines(content), F.array().cast("array<string>"))).withColumn("hs", _headings(F.col("raw")))
+
+
+def _close(hs: Column, h: Column, i: Column) -> Column:
+    """The last line of the section of heading h, which is i-th of hs; null if it is the note's."""
+    return F.get(F.filter(F.slice(hs, i + 2, F.size(hs)), lambda p: p["level"] <= h["level"]), F.lit(0))["line_number"] - 1
 
 
 def _placed(hs: Column) -> Column:
     """Each heading with its parent's line, its section's last line, and the last line before any heading."""
 
-    def one(h: Column, i: Column) -> Column:
-        before, after = F.slice(hs, 1, i), F.slice(hs, i + 2, F.size(hs))
-        parent = F.get(F.filter(before, lambda p: p["level"] < h["level"]), F.size(F.filter(before, lambda p: p["level"] < h["level"])) - 1)
-        close = F.get(F.filter(after, lambda p: p["level"] <= h["level"]), F.lit(0))
-        return F.struct(i.alias("seq"), h["level"].alias("level"), h["title"].alias("title"), h["line_number"].alias("line_number"), parent["line_number"].alias("parent_line"), (close["line_number"] - 1).alias("close"), (F.get(after, F.lit(0))["line_number"] - 1).alias("next"))
+    def one(hs: Column, h: Column, i: Column) -> Column:
+        parent = let(F.filter(F.slice(hs, 1, i), lambda p: p["level"] < h["level"]), lambda above: F.get(above, F.size(above) - 1)["line_number"])
+        return F.struct(i.alias("seq"), h["level"].alias("level"), h["title"].alias("title"), h["line_number"].alias("line_number"), parent.alias("parent_line"), _close(hs, h, i).alias("close"), (F.get(hs, i + 1)["line_number"] - 1).alias("next"))
 
-    return F.transform(hs, one)
+    return let(hs, lambda all_: F.transform(all_, lambda h, i: one(all_, h, i)))
 
 
 def headings(notes: DataFrame) -> DataFrame:
@@ -109,10 +122,12 @@ def without_sections(notes: DataFrame, exclude: list[str], content: str = "conte
     if not exclude:
         return notes
     found = with_headings(notes, content)
-    bad = lambda h: F.exists(F.array(*[F.lit(p.lower()) for p in exclude]), lambda p: F.contains(F.lower(h["title"]), p))
-    spans = F.transform(F.filter(_placed(F.col("hs")), bad), lambda h: F.struct(h["line_number"].alias("first"), F.coalesce(h["close"], F.lit(_NEVER)).alias("last")))
-    kept = F.filter("raw", lambda x, i: ~F.exists("_spans", lambda s: (i + 1).between(s["first"], s["last"])))
-    return found.withColumn("_spans", spans).withColumn(content, F.when(F.col(content).isNotNull(), F.array_join(kept, ""))).select(notes.columns)
+    bad = lambda title: F.exists(F.array(*[F.lit(p.lower()) for p in exclude]), lambda p: F.contains(title, p))
+    placed = lambda hs: F.filter(F.transform(hs, lambda h, i: F.struct(h["level"].alias("level"), h["line_number"].alias("first"), F.lower(h["title"]).alias("title"), i.alias("i"))), lambda h: bad(h["title"]))
+    spans = let(F.col("hs"), lambda hs: F.transform(placed(hs), lambda h: F.struct(h["first"].alias("first"), F.coalesce(_close(hs, h, h["i"]), F.lit(_NEVER)).alias("last"))))
+    # The spans are made once for a note, not for each line.
+    kept = let(spans, lambda all_: F.filter("raw", lambda x, i: ~F.exists(all_, lambda s: (i + 1).between(s["first"], s["last"]))))
+    return found.withColumn(content, F.when(F.col(content).isNotNull(), F.array_join(kept, ""))).select(notes.columns)
 
 
 def tree(rows: list[dict]) -> list[dict]:
