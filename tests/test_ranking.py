@@ -169,3 +169,27 @@ def test_scores_round_as_in_sql(spark):
     got = [r[0] for r in df.select(_rounded(_rounded(F.col("x"), 9), 6)).collect()]
     duckdb = pytest.importorskip("duckdb")
     assert got == [duckdb.execute("SELECT round(round(?::DOUBLE, 9), 6)", [x]).fetchone()[0] for x in asked]
+
+
+def test_chunker_gives_chunks_out_by_the_megabyte():
+    import pyarrow as pa
+
+    words = "some words of a note\nand more " * 10_000
+    sections = [{"seq": 0, "level": 1, "title": "t", "content": words, "start_line": 1, "end_line": 10_001}]
+    rows = [{"path": f"{i}.md", "content": None if i % 2 else words, "tags": ["x"], "date": None, "sections": sections if i % 2 else None} for i in range(40)]
+    made = list(chunker.chunked(iter([pa.RecordBatch.from_pylist(rows)]), chunker.ChunkConfig()))
+    assert len(made) >= 10 and max(b.nbytes for b in made) < 2 * chunker.OUT_SIZE
+    got = [r for b in made for r in b.to_pylist()]
+    assert [r["seq"] for r in got if r["source_file"] == "3.md"] == list(range(sum(r["source_file"] == "3.md" for r in got)))
+    one = [r for r in got if r["source_file"] == "2.md"]
+    assert " ".join(r["text"] for r in one) == " ".join(words.split())
+    assert [(r["line_start"], r["line_end"]) for r in one[:2]] == [(0, 512 // 7), (512 // 7, 1024 // 7)]
+
+
+def test_chunker_is_sent_a_note_once(spark, notes):
+    plain, headed = "just words " * 50, "intro\n# a\nfirst body\n## b\nsecond body\n"
+    df = notes(plain, headed)
+    found = chunker.chunks(df, chunker.ChunkConfig(min_chunk_size=1, merge_threshold=0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "THEN content" in plan and "THEN sections" in plan
+    assert [(r["source_file"], r["heading"], r["line_start"]) for r in found.orderBy("source_file", "seq").collect()] == [("n0.md", None, 0), ("n1.md", "a", 2), ("n1.md", "b", 4)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from .tags import line_tags
 
 # Fixed value: words for each byte below which a chunk is left out.
 LEAST_DENSITY = 0.03
+#: Characters of chunks that a worker holds before it gives them out.
+OUT_SIZE = 1 << 20
 _PIECE = re.compile(rf"\S{{1,{MAX_WORD}}}")
 
 
@@ -45,26 +48,32 @@ class Passage:
     def __init__(self, parts: list[tuple[str, int]]):
         """parts: texts and the line that each begins after."""
         self.text = "\n\n".join(t for t, _ in parts)
-        self.pieces: list[tuple[int, int, int, int]] = []  # begin, end, line of either
+        self.begin, self.end, self.line = array("q"), array("q"), array("q")  # of each piece
         at = 0
         for text, line in parts:
+            seen = 0
             for m in _PIECE.finditer(text):
-                self.pieces.append((at + m.start(), at + m.end(), line + text.count("\n", 0, m.start()), line + text.count("\n", 0, m.end())))
+                a, b = m.span()
+                line += text.count("\n", seen, a)  # there is none in a piece
+                seen = b
+                self.begin.append(at + a)
+                self.end.append(at + b)
+                self.line.append(line)
             at += len(text) + 2
 
     def __len__(self) -> int:
-        return len(self.pieces)
+        return len(self.begin)
 
     def windows(self, most: int, overlap: int) -> list[tuple[int, int]]:
         overlap = min(overlap, most - 1)
         return [(a, min(a + most, len(self))) for a in range(0, max(0, len(self) - overlap - 1) + 1, most - overlap)]
 
     def joined(self, a: int, b: int) -> str:
-        return " ".join(self.text[s:e] for s, e, _, _ in self.pieces[a:b])
+        return " ".join(self.text[s:e] for s, e in zip(self.begin[a:b], self.end[a:b]))
 
     def sparse(self, a: int, b: int) -> bool:
         """Whether the stretch of the pieces has hardly any words for its bytes, as data rather than prose has."""
-        stretch = self.text[self.pieces[a][0] : self.pieces[b - 1][1]]
+        stretch = self.text[self.begin[a] : self.end[b - 1]]
         return len(stretch.split()) / len(stretch.encode()) < LEAST_DENSITY
 
 
@@ -96,7 +105,7 @@ def chunk(path: str, found: list[dict], config: ChunkConfig) -> Iterator[dict]:
                 continue
             if a < b and body.sparse(a, b):
                 continue
-            first, last = (body.pieces[a][2], body.pieces[b - 1][3]) if a < b else (own["start_line"], end)
+            first, last = (body.line[a], body.line[b - 1]) if a < b else (own["start_line"], end)
             label = trail[-1] if trail else kind
             yield {"id": f"{path}:{own['start_line'] + j}:{label}", "line_start": first, "line_end": last, "heading": own["title"], "heading_path": trail, "text": body.joined(a, b) if split else body.text}
 
@@ -107,33 +116,39 @@ def chunk_whole(path: str, content: str, config: ChunkConfig) -> Iterator[dict]:
     for a in range(0, len(body), config.max_tokens):
         b = min(a + config.max_tokens, len(body))
         if b - a >= config.min_chunk_size and not body.sparse(a, b):
-            first, last = body.pieces[a][2], body.pieces[b - 1][3]
+            first, last = body.line[a], body.line[b - 1]
             yield {"id": f"{path}:{first}", "line_start": first, "line_end": last, "heading": None, "heading_path": [], "text": body.joined(a, b)}
 
+def chunked(batches: Iterator[pa.RecordBatch], config: ChunkConfig) -> Iterator[pa.RecordBatch]:
+    """Chunks of notes (path, content or else sections, tags, date): one note at a time is taken up, some `OUT_SIZE` characters are given out."""
+    for batch in batches:
+        out, size = [], 0
+        for at in range(batch.num_rows):
+            r = batch.slice(at, 1).to_pylist()[0]
+            r["path"], own = r["path"] or "", r["path"]
+            made = chunk_whole(r["path"], r["content"], config) if r["sections"] is None else chunk(r["path"], r["sections"], config)
+            for i, c in enumerate(made):
+                out.append({**c, "id": c["id"] if own is not None else None, "source_file": own, "seq": i, "tags": r["tags"], "date": r["date"]})
+                size += len(c["text"])
+                if size >= OUT_SIZE:
+                    yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                    out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
 def chunks(notes: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """(id, source_file, seq, line_start, line_end, heading, heading_path, tags, date, text) of notes(path, content).
 
     Greedy merging follows a note's sections in order, so a note is chunked by one call; notes are
-    never brought together. Repeated paths are chunked each; a null content gives no chunk, a null
+    never brought together. A worker takes one note of its Arrow batch at a time and gives chunks out by
+    the megabyte; a note comes as its content or as its sections, not as both. Repeated paths are chunked each; a null content gives no chunk, a null
     path chunks whose source and id are null.
     """
     ship(notes.sparkSession)
     split = with_sections(notes.where("content is not null").select("path", "content"), "sections")
-    whole = split.select("path", "content", line_tags("content").alias("tags"), frontmatter_date("content").alias("date"), "sections")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                plain = all(not s["title"] for s in r["sections"])
-                r["path"], own = r["path"] or "", r["path"]
-                made = chunk_whole(r["path"], r["content"], config) if plain else chunk(r["path"], r["sections"], config)
-                out += [{**c, "id": c["id"] if own is not None else None, "source_file": own, "seq": i, "tags": r["tags"], "date": r["date"]} for i, c in enumerate(made)]
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-    return whole.mapInArrow(run, SCHEMA)
+    plain = F.forall("sections", lambda s: s["title"] == "")
+    whole = split.select("path", F.when(plain, F.col("content")).alias("content"), line_tags("content").alias("tags"), frontmatter_date("content").alias("date"), F.when(~plain, F.col("sections")).alias("sections"))
+    return whole.mapInArrow(lambda batches: chunked(batches, config), SCHEMA)
 
 
 SCHEMA = "id string, source_file string, seq int, line_start int, line_end int, heading string, heading_path array<string>, tags array<string>, date long, text string"
