@@ -86,7 +86,7 @@ def _persisted(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25_from_postings(spark, sf_dir):
-    """From the written index: its scan reads the row groups that hold a term of the query."""
+    """From the written index: its scan reads what holds a term of the query in each file."""
     return bm25.scores_from_index(*_persisted(spark, sf_dir), ASKED).select("doc_id", _rounded(_rounded(F.col("score"), 9), 6).alias("score"))
 
 
